@@ -23,6 +23,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, width=20).select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridfield.llm.simhash import groups, spare_families
+
+    found = groups(table(spark, sf_dir, "documents"), spare_families(2), shingle=3)
+    return found.select("doc_id", F.lower(F.concat(*(F.substring(F.hex("fp"), k, 2) for k in range(15, 0, -2)))).alias("fingerprint"), "component_id")
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridfield.llm.containers import write
 
@@ -35,5 +42,5 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op5_token_ids, op9_harmonic_packing)}
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op4_simhash_near_dedup, op5_token_ids, op9_harmonic_packing)}
 ORACLES: dict[str, str] = {}
