@@ -16,6 +16,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridfield.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridfield.llm.substrings import remove_repeats
 
@@ -36,11 +42,18 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1).digests()
 
 
+def op8_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridfield.llm.sharding import shuffle
+
+    out = shuffle(table(spark, sf_dir, "documents"), shards=40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridfield.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op4_simhash_near_dedup, op5_token_ids, op9_harmonic_packing)}
+QUERIES = {f.__name__: f for f in (op1_entropy_mixing, op3_substring_dedup, op4_simhash_near_dedup, op5_token_ids, op8_hypergeometric_sharding, op9_harmonic_packing)}
 ORACLES: dict[str, str] = {}
