@@ -42,6 +42,19 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1).digests()
 
 
+def op6_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridfield.llm.media import media_features, to_media
+
+    return media_features(to_media(table(spark, sf_dir, "documents")))
+
+
+def op7_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridfield.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, train(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
 def op8_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridfield.llm.sharding import shuffle
 
@@ -55,5 +68,5 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_entropy_mixing, op3_substring_dedup, op4_simhash_near_dedup, op5_token_ids, op8_hypergeometric_sharding, op9_harmonic_packing)}
+QUERIES = {f.__name__: f for f in (op1_entropy_mixing, op3_substring_dedup, op4_simhash_near_dedup, op5_token_ids, op6_jpeg_media, op7_ordinal_toxicity, op8_hypergeometric_sharding, op9_harmonic_packing)}
 ORACLES: dict[str, str] = {}
