@@ -22,6 +22,12 @@ def op1_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridfield.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridfield.llm.substrings import remove_repeats
 
@@ -68,5 +74,12 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_entropy_mixing, op3_substring_dedup, op4_simhash_near_dedup, op5_token_ids, op6_jpeg_media, op7_ordinal_toxicity, op8_hypergeometric_sharding, op9_harmonic_packing)}
+def op10_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridfield.llm.quality import judge
+
+    out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_entropy_mixing, op2_license_scan, op3_substring_dedup, op4_simhash_near_dedup, op5_token_ids, op6_jpeg_media, op7_ordinal_toxicity, op8_hypergeometric_sharding, op9_harmonic_packing, op10_risk_controlled_quality)}
 ORACLES: dict[str, str] = {}
