@@ -7,7 +7,8 @@ Plan.  (1) Each task rolls two polynomial hashes over its documents, a block of
 the earliest window of each hash is sent on (map-side combine, so a passage that a third of the corpus shares costs one
 entry a block); the others are removals already.  Entries go, as packed arrays, to buckets chosen by the second hash.
 (2) A bucket orders its entries by the first hash and id, and sends back those that aren't the earliest.
-(3) Removals meet the texts by doc_id, sorted in front of the text, and are applied as the rows stream by.
+(3) Removals meet the texts by a hash of doc_id, a row for each bucket and partition at most; a task takes its partition's
+removals first, and applies them as the texts stream by.
 
 Two windows count as equal if 64 hash bits and the bucket agree; for n windows about n*n / (2**65 * buckets) pairs of
 unequal windows would be taken as equal (5e-6 for 30 GB of documents).
@@ -39,7 +40,7 @@ BLOCK_WORDS, BUCKET_WINDOWS = 1_500_000, 2_000_000
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 PACKED = "bucket long, ids binary, counts binary, starts binary, hashes binary"
-REMOVALS = "id long, starts binary"
+REMOVALS = "shard long, ids binary, counts binary, starts binary"
 
 
 def _word_hasher(limit: int = 1_000_000):
@@ -92,13 +93,13 @@ def _pack(bucket: int, ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray,
     return (int(bucket), squeeze(np.diff(ids[edge], prepend=0).astype("<i8").tobytes()), squeeze(np.diff(np.r_[edge, len(ids)]).astype("<u4").tobytes()), squeeze(step.astype("<i8").astype("<u4").tobytes()), hashes.tobytes())
 
 
-def _unpack(row: tuple, loose) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = np.cumsum(np.frombuffer(loose(row[1]), "<i8"))
-    counts = np.frombuffer(loose(row[2]), "<u4").astype(np.int64)
-    step = np.frombuffer(loose(row[3]), "<u4").astype(np.int64)
+def _unpack(row: tuple, hashes: bytes, loose) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids = np.cumsum(np.frombuffer(loose(row[0]), "<i8"))
+    counts = np.frombuffer(loose(row[1]), "<u4").astype(np.int64)
+    step = np.frombuffer(loose(row[2]), "<u4").astype(np.int64)
     total, edge = np.cumsum(step), np.cumsum(counts) - counts
     starts = total - np.repeat(total[edge] - step[edge], counts)
-    return np.repeat(ids, counts), starts, np.frombuffer(row[4], "<u8")
+    return np.repeat(ids, counts), starts, np.frombuffer(hashes, "<u8")
 
 
 def _later(ids: np.ndarray, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -163,74 +164,90 @@ def _send(width: int, buckets: int):
     return task
 
 
-def _judge(batches):
-    """Rows come sorted by bucket.  Out: removals, a row for each document and bucket."""
-    import zstandard
-
-    loose = zstandard.ZstdDecompressor().decompress
-
-    def told(ids, starts):
-        edge = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1], True])
-        for k in range(0, len(edge) - 1, 5000):
-            part = edge[k : k + 5001]
-            yield _rows(["id", "starts"], [(int(ids[a]), starts[a:b].astype("<u4").tobytes()) for a, b in zip(part[:-1], part[1:], strict=True)], [pa.int64(), pa.binary()])
-
-    def bucket(rows):
-        ids, starts, h = (np.concatenate(x) for x in zip(*rows, strict=True))
-        place = np.lexsort((starts, ids))
-        ids, starts, h = ids[place], starts[place], h[place]
-        order = np.argsort(h, kind="stable")
-        bad = np.sort(order[_later(ids[order], starts[order], h[order])])
-        if len(bad):
-            yield from told(ids[bad], starts[bad])
-
-    at, held = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != at and held:
-                yield from bucket(held)
-                held = []
-            at = row[0]
-            if row[4]:
-                held.append(_unpack(row, loose))
-            else:
-                ids, starts, _ = _unpack(row, loose)
-                yield from told(ids, starts)
-    if held:
-        yield from bucket(held)
+def _judge(shards: int):
+    """Rows come sorted by bucket.  Out: removals, a row for each bucket and shard of ids."""
+
+    def task(batches):
+        import zstandard
+
+        loose, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+
+        def told(ids, starts):
+            shard = ids % shards
+            turn = np.lexsort((starts, ids, shard))
+            ids, starts, shard = ids[turn], starts[turn], shard[turn]
+            edge = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
+            rows = [_pack(shard[a], ids[a:b], starts[a:b], ids[:0], squeeze)[:4] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            for k in range(0, len(rows), 1000):
+                yield _rows(["shard", "ids", "counts", "starts"], rows[k : k + 1000], PACKED_TYPES[:4])
+
+        def bucket(rows):
+            ids, starts, h = (np.concatenate(x) for x in zip(*rows, strict=True))
+            place = np.lexsort((starts, ids))
+            ids, starts, h = ids[place], starts[place], h[place]
+            order = np.argsort(h, kind="stable")
+            bad = order[_later(ids[order], starts[order], h[order])]
+            if len(bad):
+                yield from told(ids[bad], starts[bad])
+
+        at, held, known = None, [], []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != at and held:
+                    yield from bucket(held)
+                    held = []
+                at = row[0]
+                if row[4]:
+                    held.append(_unpack(row[1:4], row[4], loose))
+                else:
+                    known.append(_unpack(row[1:4], b"", loose))
+                    if sum(len(x[0]) for x in known) > BLOCK_WORDS:
+                        yield from told(*(np.concatenate([x[k] for x in known]) for k in (0, 1)))
+                        known = []
+        if held:
+            yield from bucket(held)
+        if known:
+            yield from told(*(np.concatenate([x[k] for x in known]) for k in (0, 1)))
+
+    return task
 
 
 def _cut(width: int, text_at: int, names: list[str], schema: pa.Schema):
-    """Rows come sorted by id, removals first: id, kind, starts, then the document's columns."""
+    """Rows come removals first: kind, id, ids, counts, starts, then the document's columns."""
 
     def task(batches):
-        at, marks = None, []
+        import zstandard
+
+        loose, parts, by_id, first = zstandard.ZstdDecompressor().decompress, [], None, {}
         for batch in batches:
-            ids, kinds, starts = (batch.column(k).to_pylist() for k in range(3))
-            texts, picked, out, total, removed = batch.column(3 + text_at).to_pylist(), [], [], [], []
-            for k, (i, kind) in enumerate(zip(ids, kinds, strict=True)):
-                if i != at:
-                    at, marks = i, []
+            kinds, ids, *packed = (batch.column(k).to_pylist() for k in range(5))
+            texts, picked, out, total, removed = batch.column(5 + text_at).to_pylist(), [], [], [], []
+            for k, (kind, i) in enumerate(zip(kinds, ids, strict=True)):
                 if kind == 0:
-                    marks.append(np.frombuffer(starts[k], "<u4").astype(np.int64))
+                    parts.append(_unpack(tuple(x[k] for x in packed), b"", loose)[:2])
                     continue
+                if by_id is None:
+                    who, starts = (np.concatenate([np.zeros(0, np.int64), *(x[n] for x in parts)]) for n in (0, 1))
+                    turn = np.argsort(who, kind="stable")
+                    who, starts, parts = who[turn], starts[turn], []
+                    edge = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, np.int64)
+                    first = dict(zip(who[edge].tolist(), zip(edge.tolist(), [*edge[1:].tolist(), len(who)], strict=True), strict=True))
+                    by_id = starts
                 words = (texts[k] or "").encode().split()
-                n = len(words)
-                if marks:
-                    s = np.concatenate(marks)
+                n, kept = len(words), words
+                if i in first:
+                    s = by_id[slice(*first[i])]
                     s = s[s + width <= n]
                     edges = np.bincount(s, minlength=n + 1)[: n + 1] - np.bincount(s + width, minlength=n + 1)[: n + 1]
                     keep = np.cumsum(edges)[:n] == 0
                     kept = [w for w, y in zip(words, keep.tolist(), strict=True) if y]
-                else:
-                    kept = words
                 picked.append(k)
                 out.append(b" ".join(kept).decode())
                 total.append(n)
                 removed.append(n - len(kept))
             if picked:
                 rest = batch.take(pa.array(picked))
-                columns = [rest.column(3 + k) for k in range(len(names) - 2)]
+                columns = [rest.column(5 + k) for k in range(len(names) - 2)]
                 columns[text_at] = pa.array(out, schema.field(text_at).type)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names)
 
@@ -243,16 +260,17 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_column: str = "doc_id",
 
     spark, names = docs.sparkSession, docs.columns
     size = runtime.text_bytes(docs, text_column)
-    buckets = partitions_for(spark, size / 6, BUCKET_WINDOWS)
+    buckets, parts = partitions_for(spark, size / 6, BUCKET_WINDOWS), partitions_for(spark, size, 32e6)
+    shards = 4 * parts + 1
     key, text = F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID)), F.coalesce(F.col(text_column), F.lit(""))
     sent = docs.select(key.alias("id"), text.cast("binary").alias("text")).mapInArrow(_send(width, buckets), PACKED)
-    judged = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_judge, REMOVALS)
+    judged = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_judge(shards), REMOVALS)
     removals = Scratch(spark, "repeats").save(judged, "removals")
     runtime.free_shuffles(spark)
 
-    at, kind, starts = (fresh(x, names) for x in ("at", "kind", "starts"))
-    whole = docs.select(key.alias(at), F.lit(1).alias(kind), F.lit(None).cast("binary").alias(starts), *(F.col(f"`{c}`") for c in names))
-    gone = removals.select(F.col("id").alias(at), F.lit(0).alias(kind), F.col("starts").alias(starts), *(F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema))
+    kind, at, *packed, shard = (fresh(x, names) for x in ("kind", "at", "ids", "counts", "starts", "shard"))
+    whole = docs.select(F.pmod(key, F.lit(shards)).alias(shard), F.lit(1).alias(kind), key.alias(at), *(F.lit(None).cast("binary").alias(c) for c in packed), *(F.col(f"`{c}`") for c in names))
+    gone = removals.select(F.col("shard").alias(shard), F.lit(0).alias(kind), F.lit(None).cast("long").alias(at), *(F.col(x).alias(c) for x, c in zip(("ids", "counts", "starts"), packed, strict=True)), *(F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema] + [T.StructField(fresh(x, names), T.LongType()) for x in ("n_words", "n_removed")])
-    both = whole.unionByName(gone).repartition(partitions_for(spark, size, 32e6), at).sortWithinPartitions(at, kind)
+    both = whole.unionByName(gone).repartition(parts, shard).sortWithinPartitions(kind).drop(shard)
     return both.mapInArrow(_cut(width, names.index(text_column), schema.names, to_arrow_schema(schema)), schema)
