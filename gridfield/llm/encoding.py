@@ -9,18 +9,26 @@ from __future__ import annotations
 
 import re
 import sys
+from array import array
 
 from gridfield.llm import runtime
 
 runtime.ship(sys.modules[__name__])
 
 #: Words remembered by a worker: two generations of so many.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 #: How the file's pre-tokenizer cuts lower-case ASCII (fixed values of that file).
 ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable Latin-1 as it is, others from 256 on."""
+    as_is = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in as_is else next(others)) for b in range(256)}
+
+
 class Memory(dict):
     """A dict of two generations that makes what it lacks; the older is dropped when the younger is full."""
 
@@ -46,17 +54,17 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.pieces = Memory(self._piece, limit)
         self.words = Memory(self._word, limit)
 
     def _library(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: bytes) -> bytes:
         text = piece.decode()
-        if piece.isascii() and piece.isalpha():  # no normalizing is left to do: the model alone gives the ids
-            return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(text))
+        if text.isalpha() and max(text) < "ɐ":  # one piece, and no normalizing is left to do: the model alone gives the ids
+            return array("I", [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.letters))]).tobytes()
         return self._library(text)
 
     def _word(self, word: bytes) -> bytes:

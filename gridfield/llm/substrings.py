@@ -43,7 +43,7 @@ PACKED = "bucket long, ids binary, counts binary, starts binary, hashes binary"
 REMOVALS = "shard long, ids binary, counts binary, starts binary"
 
 
-def _word_hasher(limit: int = 1_000_000):
+def _word_hasher(limit: int = 300_000):
     import xxhash
 
     known: dict[bytes, int] = {}

@@ -163,7 +163,7 @@ def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame
 
         def weighty(w: bytes) -> tuple:
             """A word's features that have a weight."""
-            if len(known) > 500_000:
+            if len(known) > 200_000:
                 known.clear()
             found = known[w] = tuple(f for f in of_word(w) if f in weights)
             return found
