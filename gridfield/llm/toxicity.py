@@ -39,7 +39,7 @@ runtime.ship(sys.modules[__name__])
 
 DIMENSIONS, MIN_DOCS, PER_LABEL = 1 << 20, 3, 3000
 #: Features that speak for toxic, at least, where the sample has so many.
-FEW = 20
+FEW = 8
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 

@@ -1,0 +1,234 @@
+"""The training-data operators against brute force, on small and odd inputs."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from gridfield.llm import containers, licenses, media, mixing, packing, quality, sharding, simhash, substrings, toxicity
+from gridfield.llm.queries import tokenizer_path
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def corpus(spark, n=120, seed=3):
+    """Copies, near copies, shared passages, nulls, empty and long texts, repeated rows."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    words = lambda k: [rng.choice(vocabulary) for _ in range(k)]
+    shared, rows = words(60), []
+    for i in range(n):
+        w = words(rng.randint(30, 200))
+        if i % 7 == 1:
+            w = w[:10] + shared + w[10:]
+        if i % 11 == 2 and rows:
+            w = (rows[-1][1] or "x").split()
+        if i % 13 == 3:
+            w = w + w[:50]
+        text = "\n".join(" ".join(w[k : k + 20]) for k in range(0, len(w), 20))
+        if i % 17 == 4:
+            text += " Released under the MIT License. ***"
+        rows.append((i, text, ("en", "de", None)[i % 3], (None, "a", "b", "c")[0 if i % 10 == 0 else 1 + (i % 3 > 0) + (i % 9 == 0)], len(text)))
+    rows += [(n, None, "en", "a", None), (n + 1, "", "en", "b", 0), (n + 2, " \n\t", "en", None, 3), (n + 3, "é ß " * 9000, "fr", "z", 36000), (n + 4, "one two", "en", "a", 7)]
+    return spark.createDataFrame(rows, SCHEMA), rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df, rows = corpus(spark)
+    return df.repartition(5), rows
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_remove_repeats(spark, docs):
+    df, rows = docs
+    got = {r["doc_id"]: (r["text"], r["n_words"], r["n_removed"]) for r in substrings.remove_repeats(df.withColumn("kind", F.lit(1)), 20).collect()}
+    seen = set()
+    for i, text, *_ in sorted(rows):
+        w = (text or "").encode().split()
+        keep = [True] * len(w)
+        for s in range(len(w) - 19):
+            g = tuple(w[s : s + 20])
+            if g in seen:
+                keep[s : s + 20] = [False] * 20
+            seen.add(g)
+        kept = b" ".join(x for x, k in zip(w, keep, strict=True) if k).decode()
+        assert got[i] == (kept, len(w), len(w) - sum(keep))
+    assert substrings.remove_repeats(empty(spark)).count() == 0
+
+
+def test_simhash(spark, docs):
+    df, rows = docs
+    got = {r["doc_id"]: r for r in simhash.groups(df, simhash.spare_families(2)).collect()}
+    prints = {}
+    for i, text, *_ in rows:
+        w = (text or "").encode().lower().split()
+        grams = [b" ".join(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) > 2 else ([b" ".join(w)] if w else [])
+        h = [xxhash.xxh64_intdigest(g, seed=42) for g in grams]
+        prints[i] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    root = {i: i for i in prints}
+    for _ in prints:
+        for a in prints:
+            for b in prints:
+                if (prints[a] ^ prints[b]).bit_count() <= 2:
+                    root[a] = root[b] = min(root[a], root[b])
+    for i, p in prints.items():
+        assert int.from_bytes(got[i]["fp"], "little") == p and got[i]["component_id"] == root[i]
+    assert simhash.groups(empty(spark), simhash.spare_families(2)).count() == 0
+
+
+def test_big_buckets_lose_no_pair(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 64, 30, dtype=np.uint64)
+    fps = np.array([x ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b)) for x in base for a, b in rng.integers(0, 64, (12, 2))], np.uint64)
+    pivots, keys = simhash.spare_families(2), np.zeros(len(fps), np.uint64)
+
+    def classes():
+        root = list(range(len(fps)))
+        for left, right in simhash.close_pairs(pivots, keys, fps[:, None]):
+            for a, b in zip(left, right, strict=True):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+        return root
+
+    want = classes()
+    monkeypatch.setattr(simhash, "BUCKET_PAIRS", 10)
+    assert classes() == want
+
+
+def test_token_files(spark, docs):
+    df, rows = docs
+    files = containers.write(df, tokenizer_path(), 1, container_bytes=4000)
+    got = {r["doc_id"]: r for r in files.digests().collect()}
+    from tokenizers import Tokenizer
+
+    t, at = Tokenizer.from_file(tokenizer_path()), 0
+    for i, text, *_ in sorted(rows):
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    blob = files.table.first()["blob"]
+    with pytest.raises(ValueError):
+        containers.open_container(blob, b"another dictionary")
+    assert containers.write(empty(spark), tokenizer_path(), 1).digests().count() == 0
+
+
+def test_packing(spark, docs):
+    df, rows = docs
+    from tokenizers import Tokenizer
+
+    t, out = Tokenizer.from_file(tokenizer_path()), packing.pack(df, tokenizer_path(), 2).collect()
+    ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4") for i, x, *_ in rows}
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in out:
+        assert zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
+        by_doc[r["doc_id"]].append((r["start"], r["length"]))
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts, total in [(by_doc[i], len(x)) for i, x in ids.items()] + [(s, None) for s in by_sequence.values()]:
+        at = 0
+        for start, length in sorted(parts):
+            assert start == at
+            at += length
+        assert at == total if total is not None else at <= 4096
+    assert packing.pack(empty(spark), tokenizer_path(), 2).count() == 0
+    assert all(sum(packing.cuts(n, 4096, 64)) == n for n in range(9000))
+
+
+def test_mixing(spark, docs):
+    df, rows = docs
+    out = mixing.mix(df).collect()
+    source = {r[0]: r[3] for r in rows}
+    assert all(r["size"] == len((rows[r["doc_id"]][1] or "").encode().split()) and r["taken"] <= 2 * r["size"] for r in out)
+    assert sum({source[r["doc_id"]]: r["target"] for r in out}.values()) == pytest.approx(1.5 * sum(r["size"] for r in out))
+    for s in set(source.values()):
+        own = [r for r in out if source[r["doc_id"]] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
+    assert sorted(map(tuple, mixing.mix(df).collect()), key=str) == sorted(map(tuple, out), key=str)
+    assert mixing.targets([10, 100, 100], [5, 2, 1], 315, 2) == [20, pytest.approx(590 / 3), pytest.approx(295 / 3)]
+    assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed(empty(spark)).count() == 0
+
+
+def test_sharding(spark, docs):
+    df, rows = docs
+    out = sharding.shuffle(df, 7).collect()
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+        assert r["text_crc32"] == zlib.crc32((rows[r["doc_id"]][1] or "").encode())
+    sizes = [len(slots[k]) for k in range(7)]
+    assert max(sizes) - min(sizes) <= 1 and sum(sizes) == len(rows) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert sharding.shuffle(empty(spark), 7).count() == 0
+    m = sharding.matrix([5, 0, 9, 30], 4, 1)
+    assert m.sum(axis=1).tolist() == [5, 0, 9, 30] and np.ptp(m.sum(axis=0)) <= 1
+
+
+def test_media_round_trip(spark, docs):
+    df, rows = docs
+    for r in media.media_features(media.to_media(df)).collect():
+        raw = media.payload((rows[r["doc_id"]][1] or "").encode())
+        assert r["payload_sha256"] == hashlib.sha256(raw).hexdigest() and r["tail_crc32"] == zlib.crc32(raw[-32:])
+    noise = [random.Random(k).randbytes(576 * k) for k in (1, 3, 340, 9000)]
+    for raw, stream in zip(noise, media.store(noise), strict=True):
+        assert b"".join(g.tobytes() for g in media.thumbnails(media.parse(stream))) == raw
+    with pytest.raises(ValueError):
+        media.parse(b"no image")
+    assert media.media_features(media.to_media(empty(spark))).count() == 0
+
+
+def test_toxicity(spark):
+    rng, rows, labels = random.Random(1), [], []
+    for i in range(400):
+        w = ["".join(rng.choice("lmnopq") for _ in range(4)) for _ in range(60)]
+        bad = i % 5 == 0
+        if bad:
+            w[3:6] = rng.sample(["vile", "awful", "nasty", "rotten"], 3)
+        rows.append((i, " ".join(w), None, None, None))
+        if i < 300:
+            labels.append((i, 1, int(bad)))
+    rows.append((400, None, None, None, None))
+    docs, told = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.train(docs, told)).collect()}
+    held_out = [out[i]["toxic"] == (i % 5 == 0) for i in range(300, 400)]
+    assert sum(held_out) >= 97 and not any(out[i]["toxic"] for i in range(401) if i % 5 or i == 400)
+    none = toxicity.train(docs, told.limit(0))
+    assert toxicity.score(docs, none).where("toxic").count() == 0
+
+
+def test_licenses(spark, docs):
+    df, rows = docs
+    extra = spark.createDataFrame([(500, "CC BY cc-by Apache License gnu general public license", None, None, 0), (501, "permission is hereby granted free of charge to any lucky person obtaining a copy of this software and associated documentation files", None, None, 0)], SCHEMA)
+    out = {r["doc_id"]: r for r in licenses.scan(df.unionByName(extra)).collect()}
+    assert (out[500]["n_base"], out[500]["first_word"], out[500]["last_word"], out[500]["base_labels"]) == (4, 0, 6, "apache,cc-by,gpl")
+    assert out[501]["labels"] == "mit-text" and out[501]["n_base"] == 0
+    for i, text, *_ in rows:
+        assert out[i]["n_base"] == (text or "").count("MIT License") and 0 <= out[i]["score"] <= 1
+    assert licenses.scan(empty(spark)).count() == 0
+
+
+def test_quality(spark, docs):
+    df, rows = docs
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    for r in quality.judge(df, labels).collect():
+        text = rows[r["doc_id"]][1] or ""
+        w = text.encode().split()
+        grams = Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {k + j for k, g in enumerate(zip(w, w[1:], w[2:], strict=False)) if grams[g] > 1 for j in range(3)}
+        lines = [x for x in text.split("\n") if x.encode().split()]
+        assert (r["n_words"], r["n_repeat_words"], r["n_dup_lines"]) == (len(w), len(covered), len(lines) - len(set(lines)))
+        assert r["word_chars"] == sum(len(x.decode()) for x in w) and r["n_symbols"] == sum(text.count(c) for c in "#*$%&|<>")
+    assert quality.judge(empty(spark), labels).count() == 0
+
+
+def test_binomial_tail(spark):
+    from math import comb
+
+    row = spark.range(1).select(quality.binomial_tail(F.lit(3), F.lit(900), 0.01).alias("p")).first()
+    assert row["p"] == pytest.approx(sum(comb(900, k) * 0.01**k * 0.99 ** (900 - k) for k in range(4)))
