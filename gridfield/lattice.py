@@ -70,6 +70,14 @@ class Lattice:
             total, step = total + x * F.lit(step), step * n
         return total
 
+    def from_file_index(self, k: Column) -> Column:
+        """The C-order number of a site by its number in files."""
+        xs, step = [], 1
+        for n in self.dims:
+            xs.append(F.pmod(F.floor(k / F.lit(step)), F.lit(n)))
+            step *= n
+        return self.index(xs).cast("long")
+
     def parity(self, site: Column) -> Column:
         total = F.lit(0).cast("long")
         for x in self.coordinates(site):

@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import math
+import sys
+import tempfile
+import uuid
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +17,8 @@ from gridfield.functions import algebra as A
 from gridfield.lattice import Lattice
 from gridfield.operators.gauge import Gauge
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,3 +60,15 @@ def links(spark, sf_dir) -> Gauge:
     lattice, rows = vectors(spark, sf_dir)
     u = F.array(*(A.save([A.Complex(element(8 * mu + 2 * k), element(8 * mu + 2 * k + 1)) for k in range(4)]) for mu in range(4)))
     return Gauge(lattice, rows.select("site", u.alias("u")), 2)
+
+
+def shared_file(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that executors share; without spark.checkpoint.dir, of this machine in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(found or 'file://' + tempfile.gettempdir() + '/gridfield-files').rstrip('/')}/{uuid.uuid4().hex}-{name}"
+
+
+def thousandth_square(x: pd.Series) -> pd.Series:
+    return x * x / 1000

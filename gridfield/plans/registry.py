@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from gridfield.field import Field
 from gridfield.functions import algebra as A
-from gridfield.functions import seeds
+from gridfield.functions import lanes, seeds, siteops
 from gridfield.lattice import Lattice
-from gridfield.operators import stencils
+from gridfield.operators import dense, stencils
 from gridfield.plans import fixtures as X
+from gridfield.sources import lime, scidac
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -442,3 +443,85 @@ def scidac_checksum(spark, sf_dir):
 @query("SELECT bit_xor(o_custkey) AS xor32, sum(o_custkey)::BIGINT % 4294967296 AS sum32 FROM orders")
 def plain_checksum(spark, sf_dir):
     return seeds.plain_checksum(X.table(spark, sf_dir, "orders"), "o_custkey").select(F.col("xor32"), F.col("sum32").cast("long").alias("sum32"))
+
+
+# --- 7. files, lane layouts, larger matrices, site functions --------------------------------------------------------
+@query("SELECT o_orderkey AS site, o_totalprice AS v FROM orders")
+def scidac_round_trip(spark, sf_dir):
+    path = X.shared_file(spark, "prices.lime")
+    scidac.write_field(X.prices(spark, sf_dir), path)
+    return scidac.read_field(spark, path).df
+
+
+@query(f"{E} SELECT site, 3 * i + j AS k, {r('e[2 * (3 * i + j) + 1]')} AS re, {r('e[2 * (3 * i + j) + 2]')} AS im FROM e, {_IJ}")
+def scidac_matrix_round_trip(spark, sf_dir):
+    path = X.shared_file(spark, "matrices.lime")
+    scidac.write_field(X.complex_(spark, sf_dir, 0, (3, 3)), path)
+    return _long(scidac.read_field(spark, path, (3, 3), True))
+
+
+@query(f"{_U} SELECT {r('sum(re) / (8 * count(DISTINCT site))', 9)} AS link_trace FROM u WHERE i = j")
+def ildg_link_trace(spark, sf_dir):
+    path = X.shared_file(spark, "links.lime")
+    scidac.write_links(X.links(spark, sf_dir), path)
+    return rounded(scidac.read_links(spark, path, 2).link_trace(), "link_trace", digits=9)
+
+
+@query("SELECT unnest([0, 1, 2]) AS number, unnest(['ildg-format', 'ildg-binary-data', 'scidac-checksum']) AS type, unnest([true, false, false]) AS begins, unnest([false, false, true]) AS ends, unnest([0, 256 * (SELECT count(*) FROM embeddings), 0]) AS data_bytes")
+def lime_records(spark, sf_dir):
+    path = X.shared_file(spark, "listed.lime")
+    scidac.write_links(X.links(spark, sf_dir), path)
+    data = F.when(F.col("type") == scidac.ILDG_BINARY, F.col("length")).otherwise(F.lit(0)).cast("long")
+    return lime.contents(spark, path).select("number", "type", "begins", "ends", data.alias("data_bytes"))
+
+
+_LANES = lanes.LaneLayout(BOX, lanes.lane_grid(BOX.dims, 8))
+_G = _LANES.grid
+
+
+def _lane_sql(part) -> str:
+    dims = [n // g for n, g in zip(BOX.dims, _G, strict=True)] if part == "//" else _G
+    x = [f"x{d} {part} {g}" for d, g in enumerate(_G)]
+    return f"((({x[0]}) * {dims[1]} + ({x[1]})) * {dims[2]} + ({x[2]})) * {dims[3]} + ({x[3]})"
+
+
+@query(f"SELECT site, {_lane_sql('//')} AS grp, {_lane_sql('%')} AS lane FROM ({_C})")
+def lane_layout(spark, sf_dir):
+    group, lane = _LANES.place(F.col("site"))
+    return BOX.sites(spark).select("site", group.alias("grp"), lane.alias("lane"))
+
+
+@query(f"SELECT {_lane_sql('//')} AS grp, sum(site)::DOUBLE AS total, min(site)::DOUBLE AS low, max(site)::DOUBLE AS high FROM ({_C}) GROUP BY ALL")
+def lane_sums(spark, sf_dir):
+    held = _LANES.to_lanes(BOX.sites(spark).select("site", F.col("site").cast("double").alias("v")))
+    v = F.col("v")
+    return held.select(F.col("group").alias("grp"), lanes.lane_sum(v).alias("total"), lanes.lane_min(v).alias("low"), lanes.lane_max(v).alias("high"))
+
+
+@query("SELECT o_orderkey AS site, o_totalprice AS v FROM orders")
+def lane_round_trip(spark, sf_dir):
+    f = X.prices(spark, sf_dir)
+    layout = lanes.LaneLayout(f.lattice, lanes.lane_grid(f.lattice.dims, 2, (1, 1, lanes.FREE, 1)))
+    return layout.from_lanes(layout.to_lanes(f.df))
+
+
+@query("SELECT vec_id AS site, k, CASE WHEN k % 6 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM embeddings, (SELECT unnest(range(25))::INTEGER AS k)")
+def large_inverse(spark, sf_dir):
+    """M M^-1 of 5 x 5 matrices with 4 added on the diagonal."""
+    m = X.real(spark, sf_dir, 0, (5, 5)).map(lambda a: A.add(a, A.scale(A.identity(5), F.lit(4.0))))
+    return _long(m.matmul(dense.inverse(m)))
+
+
+@query(f"{E} SELECT site, {r(_DET, 9)} AS v FROM e")
+def large_determinant(spark, sf_dir):
+    """The numeric way on 3 x 3 matrices, where SQL has a closed form."""
+    return rounded(dense.determinant(X.real(spark, sf_dir, 0, (3, 3))).df, "v", digits=9)
+
+
+@query("SELECT o_orderkey AS site, round(o_totalprice / 2 + 3, 4) AS built_in, round(o_totalprice * o_totalprice / 1000, 4) AS by_series FROM orders")
+def site_functions(spark, sf_dir):
+    siteops.define("half_plus", 2, lambda x, y: x / 2 + y)
+    siteops.register(spark, "thousandth_square", X.thousandth_square)
+    v = F.col("v")
+    rows = X.prices(spark, sf_dir).df.select("site", siteops.apply("half_plus", v, F.lit(3.0)).alias("built_in"), siteops.apply("thousandth_square", v).alias("by_series"))
+    return rounded(rows, "built_in", "by_series", digits=4)
