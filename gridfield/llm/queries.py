@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridfield.llm.oracles import ORACLES as ORACLES
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -82,4 +84,3 @@ def op10_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_entropy_mixing, op2_license_scan, op3_substring_dedup, op4_simhash_near_dedup, op5_token_ids, op6_jpeg_media, op7_ordinal_toxicity, op8_hypergeometric_sharding, op9_harmonic_packing, op10_risk_controlled_quality)}
-ORACLES: dict[str, str] = {}
