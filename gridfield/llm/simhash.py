@@ -15,6 +15,11 @@ never meet as pairs.  Nodes are dealt by key, and a bucket's links go into a uni
 spanning forest: a bucket of n nodes makes n - 1 links at most.  Buckets over ``BUCKET_PAIRS`` nodes, with one word and
 a radius of two, are linked by sorting on every choice of two erased bits instead, linear in n and as exact.
 
+With ``similar``, pairs over ``sure`` bits apart are checked on the texts: a bucket's forest is built from the closest
+pairs on, each of its doubtful pairs is sent on as it is, and only those stay whose shingle sets have that Jaccard
+similarity.  A pair that a forest leaves out, since closer pairs join its ends already, is lost if one of those fails
+and no other bucket has it; so the check may split a chain of borderline texts, and never joins unlike ones.
+
 Cases.  Null or blank text: fingerprint zero, linked like any other.  Fewer words than a shingle: the whole sequence is
 one shingle.  Null doc_id: such rows count as one document after all others (component null if alone).  Rows that repeat
 a doc_id count as one document with several texts.  Ties in bit counts: bit not set.  Empty table: empty result.
@@ -40,6 +45,8 @@ runtime.ship(sys.modules[__name__])
 BUCKET_PAIRS = 3000
 #: Shingles whose bits are counted at a time, and rows that are linked at a time.
 BITS_AT_ONCE, LINK_ROWS = 100_000, 200_000
+#: Doubtful pairs that a task holds before it sorts them and links.
+HELD_PAIRS = 1_000_000
 #: Pivots of a family, besides the first pivot.
 PATTERNS = 8
 
@@ -169,11 +176,12 @@ def close_pairs(pivots: Pivots, keys: np.ndarray, fps: np.ndarray):
                     yield a + order[same], a + order[same + 1]
 
 
-def _links(pivots: Pivots):
-    """Rows come sorted by key."""
+def _links(pivots: Pivots, sure: int):
+    """Rows come sorted by key.  Pairs that unite something, with their distance; those over ``sure`` from the closest on."""
 
     def task(batches):
         parent: dict[int, int] = {}
+        pairs: list[tuple[int, int, int]] = []
 
         def root(x: int) -> int:
             while parent.setdefault(x, x) != x:
@@ -184,11 +192,31 @@ def _links(pivots: Pivots):
         def link(rows):
             keys, ids = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
             fps = np.concatenate([r[2] for r in rows])
+            doubtful, size = [], 0
             for left, right in close_pairs(pivots, keys, fps):
-                for a, b in zip(ids[left].tolist(), ids[right].tolist(), strict=True):
-                    a, b = root(a), root(b)
-                    if a != b:
-                        parent[max(a, b)] = min(a, b)
+                apart = np.bitwise_count(fps[left] ^ fps[right]).sum(axis=1, dtype=np.int64)
+                near = apart <= sure
+                unite(ids[left[near]], ids[right[near]], apart[near])
+                if not near.all():
+                    doubtful.append((ids[left[~near]], ids[right[~near]], apart[~near]))
+                    size += len(doubtful[-1][0])
+                if size > HELD_PAIRS:
+                    settle(doubtful)
+                    doubtful, size = [], 0
+            settle(doubtful)
+
+        def settle(doubtful):
+            if doubtful:
+                a, b, apart = (np.concatenate([x[k] for x in doubtful]) for k in range(3))
+                order = np.argsort(apart, kind="stable")
+                unite(a[order], b[order], apart[order])
+
+        def unite(left, right, apart):
+            for x, y, d in zip(left.tolist(), right.tolist(), apart.tolist(), strict=True):
+                a, b = root(x), root(y)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    pairs.append((x, y, d))
 
         held, n = [], 0
         for batch in batches:
@@ -205,23 +233,68 @@ def _links(pivots: Pivots):
                 n += len(rows[0])
         if held:
             link(held)
-        pairs = [(x, root(x)) for x in list(parent) if root(x) != x]
         for at in range(0, len(pairs), 50_000):
             part = pairs[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([y for _, y in part], pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in part], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["a", "b", "d"])
+
+    return task
+
+
+def gram_set(words: list[bytes], shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    import xxhash
+
+    grams = {b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))} if words else ()
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64))
+
+
+def _gram_sets(shingle: int):
+    def task(batches):
+        for batch in batches:
+            found = [gram_set(t.lower().split(), shingle).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "grams"])
+
+    return task
+
+
+def _alike(least: float):
+    def task(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both > 0 and both >= least * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return task
 
 
-def groups(docs: DataFrame, pivots: Pivots, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """A row a document: doc_id, fp (binary, little-endian words) and component_id."""
+def alike(texts: DataFrame, pairs: DataFrame, shingle: int, least: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of ids whose texts' shingle sets have that Jaccard similarity; of several texts of an id, any."""
+    wanted = scratch.save(pairs.select(F.col("a").alias("wanted")).unionByName(pairs.select(F.col("b").alias("wanted"))).distinct(), "wanted")
+    sets = scratch.save(texts.join(wanted, texts["id"] == wanted["wanted"]).select("id", "text").mapInArrow(_gram_sets(shingle), "id long, grams binary"), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("right")), "b")
+    return both.select("a", "b", "left", "right").mapInArrow(_alike(least), "a long, b long")
+
+
+def groups(docs: DataFrame, pivots: Pivots, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text", similar: float | None = None, sure: int = 0) -> DataFrame:
+    """A row a document: doc_id, fp (binary, little-endian words) and component_id.
+
+    similar: pairs over ``sure`` bits apart are links only at that Jaccard similarity of their shingle sets.
+    """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "simhash")
     texts = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("text"))
     prints = scratch.save(texts.mapInArrow(_fingerprints(shingle, pivots.width), "id long, fp binary"), "prints")
     nodes = scratch.save(prints.groupBy("fp").agg(F.min("id").alias("id")).select("id", "fp"), "nodes")
     keyed = nodes.mapInArrow(_keys(pivots), "key long, id long, fp binary")
     parts = partitions_for(spark, nodes.count() * len(pivots.keys), 500_000)
-    links = keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_links(pivots), "a long, b long")
+    links = keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_links(pivots, pivots.radius if similar is None else sure), "a long, b long, d int")
+    if similar is not None:
+        links = scratch.save(links, "pairs")
+        pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        doubtful = scratch.save(links.where(F.col("d") > sure).select(*pair).distinct(), "doubtful")
+        links = links.where(F.col("d") <= sure).select("a", "b").unionByName(alike(texts, doubtful, shingle, similar, scratch))
     # a document with several texts is several nodes of one id: nothing to link
     roots = stars(links, scratch)
     named = nodes.join(roots, nodes["id"] == roots["node"], "left").select("fp", F.coalesce("root", "id").alias("component_id"))
@@ -229,9 +302,9 @@ def groups(docs: DataFrame, pivots: Pivots, shingle: int = 3, id_column: str = "
     return prints.join(named, "fp").select(real("id").alias("doc_id"), "fp", real("component_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, pivots: Pivots, shingle: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, pivots: Pivots, shingle: int, id_column: str = "doc_id", text_column: str = "text", similar: float | None = None, sure: int = 0) -> DataFrame:
     """docs without those whose group has a smaller doc_id; of rows that repeat a doc_id all stay, as do rows without one."""
-    found = groups(docs, pivots, shingle, id_column, text_column)
+    found = groups(docs, pivots, shingle, id_column, text_column, similar, sure)
     gone = fresh("gone", docs.columns)
     drop = found.where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
     return docs.join(drop, docs[id_column] == drop[gone], "left_anti")

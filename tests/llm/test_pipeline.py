@@ -22,7 +22,7 @@ def test_stages(spark):
             assert not any(i in kept for i, t in before.items() if first[t] != i)
             shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in before.items() for w in [t.lower().split()]}
             for i in set(before) - kept:  # each has a partner that is like it
-                assert max(len(shingles[i] & s) / len(shingles[i] | s) for j, s in shingles.items() if j != i) > 0.5
+                assert max(len(shingles[i] & s) / len(shingles[i] | s) for j, s in shingles.items() if j != i) >= 0.8
         if name == "substring_dedup":
             seen, n = set(), 0
             for i, t in sorted(before.items()):
