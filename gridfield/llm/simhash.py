@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from gridfield.llm import runtime
 from gridfield.llm.components import stars
-from gridfield.llm.runtime import LAST_ID, Scratch, fresh, partitions_for
+from gridfield.llm.runtime import LAST_ID, Scratch, fresh, partitions_for, release
 
 runtime.ship(sys.modules[__name__])
 
@@ -80,6 +80,7 @@ def fingerprint(words: list[bytes], shingle: int, width: int) -> np.ndarray:
 
 def _fingerprints(shingle: int, width: int):
     def task(batches):
+        release()
         for batch in batches:
             found = [fingerprint(t.lower().split(), shingle, width).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "fp"])
@@ -180,6 +181,7 @@ def _links(pivots: Pivots, sure: int):
     """Rows come sorted by key.  Pairs that unite something, with their distance; those over ``sure`` from the closest on."""
 
     def task(batches):
+        release()
         parent: dict[int, int] = {}
         pairs: list[tuple[int, int, int]] = []
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridfield.llm import runtime
-from gridfield.llm.runtime import LAST_ID, Scratch, fresh, partitions_for
+from gridfield.llm.runtime import LAST_ID, Scratch, fresh, partitions_for, release
 
 runtime.ship(sys.modules[__name__])
 
@@ -111,6 +111,7 @@ def _later(ids: np.ndarray, starts: np.ndarray, group: np.ndarray) -> np.ndarray
 
 def _send(width: int, buckets: int):
     def task(batches):
+        release()
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -168,6 +169,7 @@ def _judge(shards: int):
     """Rows come sorted by bucket.  Out: removals, a row for each bucket and shard of ids."""
 
     def task(batches):
+        release()
         import zstandard
 
         loose, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
@@ -216,6 +218,7 @@ def _cut(width: int, text_at: int, names: list[str], schema: pa.Schema):
     """Rows come removals first: kind, id, ids, counts, starts, then the document's columns."""
 
     def task(batches):
+        release()
         import zstandard
 
         loose, parts, by_id, first = zstandard.ZstdDecompressor().decompress, [], None, {}

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridfield.llm import runtime
-from gridfield.llm.runtime import fresh
+from gridfield.llm.runtime import fresh, release
 
 runtime.ship(sys.modules[__name__])
 
@@ -157,6 +157,7 @@ def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame
     arrow, at, weights, cuts, cutoff = to_arrow_schema(schema), names.index(text_column), model.weights, model.cuts, model.cutoff
 
     def task(batches):
+        release()
         import zlib
 
         known: dict[bytes, tuple] = {}
