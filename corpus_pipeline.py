@@ -13,11 +13,9 @@ from gridfield.llm import mixing, packing, simhash, substrings, toxicity
 from gridfield.llm.queries import table, tokenizer_path
 from gridfield.llm.runtime import Scratch
 
-#: Near duplicates: shingles of five words at a similarity of 0.8.  Two texts with that Jaccard similarity have a cosine
-#: of 2J / (1 + J) and differ in 39 of 256 bits on average (standard deviation 6), at 0.75 in 44 and at 0.6 in 59.  Pairs
-#: within the radius are checked on their shingle sets, but for those within SURE bits, which hardly any unlike pair is.
-#: A pair of 0.8 shares one of the families' bits, or more, with a chance of 0.91; of 0.85 with 0.985.
-SHINGLE, SIMILAR, WORDS, RADIUS, SURE, FAMILIES, FAMILY_BITS = 5, 0.8, 4, 52, 24, 64, 20
+#: Near duplicates: all pairs whose sets of five-word shingles have a similarity of 0.8, checked on the sets.  Fingerprints
+#: of four words say which pairs are checked first.
+SHINGLE, SIMILAR, WORDS = 5, 0.8, 4
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest doc_id stays."""
-    return simhash.keep_one(docs, simhash.sampled_families(RADIUS, WORDS, FAMILIES, FAMILY_BITS), SHINGLE, similar=SIMILAR, sure=SURE)
+    return simhash.keep_one(docs, simhash.spare_families(2, WORDS), SHINGLE, similar=SIMILAR)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,23 +10,26 @@ agree on a family's bits have equal differences there.  With ``spare_families(r)
 which make a key) two fingerprints within r bits of each other agree on a whole key: no pair is lost.  For wide
 radiuses, ``sampled_families`` draws families of random bits, each a key; then pairs are found with a high probability.
 
-Plan.  Fingerprints once, over whole texts; equal fingerprints become one node (its smallest doc_id), so exact copies
-never meet as pairs.  Nodes are dealt by key, and a bucket's links go into a union-find of the task, which sends on a
-spanning forest: a bucket of n nodes makes n - 1 links at most.  Buckets over ``BUCKET_PAIRS`` nodes, with one word and
-a radius of two, are linked by sorting on every choice of two erased bits instead, linear in n and as exact.
-
-With ``similar``, pairs over ``sure`` bits apart are checked on the texts: a bucket's forest is built from the closest
-pairs on, each of its doubtful pairs is sent on as it is, and only those stay whose shingle sets have that Jaccard
-similarity.  A pair that a forest leaves out, since closer pairs join its ends already, is lost if one of those fails
-and no other bucket has it; so the check may split a chain of borderline texts, and never joins unlike ones.
+Plan.  Fingerprints once, over whole texts; rows with equal fingerprints become one numbered node, so exact copies never
+meet as pairs.  Nodes are dealt by key, and a bucket's links go into a union-find of the task, which sends on a spanning
+forest: a bucket of n nodes makes n - 1 links at most.  Buckets over ``BUCKET_PAIRS`` nodes, with one word and a radius of
+two, are linked by sorting on every choice of two erased bits instead, linear in n and as exact.
+
+With ``similar``, links are the pairs of texts whose sets of shingles have that Jaccard similarity, all of them.  A node is
+still the texts of one fingerprint, of which one is checked.  Keys are the shingles of a set's prefix: with
+n shingles in one order that holds for the whole table, the first n - ceil(similar * n) + 1; two sets that are similar
+enough share a shingle of both prefixes, and the places of the first one they share bound how many they may share.  The
+order is by counts in a sample, rare ones first: it decides how long buckets are, and not what is found.  Of the pairs
+that these bounds leave, those of a spanning forest from the closest fingerprints on are checked on the sets.
 
 Cases.  Null or blank text: fingerprint zero, linked like any other.  Fewer words than a shingle: the whole sequence is
-one shingle.  Null doc_id: such rows count as one document after all others (component null if alone).  Rows that repeat
-a doc_id count as one document with several texts.  Ties in bit counts: bit not set.  Empty table: empty result.
+one shingle.  Null doc_id or repeated ones: each row goes by its own text; component_id is the smallest doc_id of the
+group, null if none has one.  Ties in bit counts: bit not set.  Empty table: empty result.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 from itertools import combinations
 
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from gridfield.llm import runtime
 from gridfield.llm.components import stars
-from gridfield.llm.runtime import LAST_ID, Scratch, fresh, partitions_for, release
+from gridfield.llm.runtime import LAST_ID, Scratch, free_shuffles, fresh, partitions_for, release
 
 runtime.ship(sys.modules[__name__])
 
@@ -45,8 +48,10 @@ runtime.ship(sys.modules[__name__])
 BUCKET_PAIRS = 3000
 #: Shingles whose bits are counted at a time, and rows that are linked at a time.
 BITS_AT_ONCE, LINK_ROWS = 100_000, 200_000
-#: Doubtful pairs that a task holds before it sorts them and links.
+#: Pairs that a task holds before it sends them on.
 HELD_PAIRS = 1_000_000
+#: Entries that a bucket of prefixes is meant to hold; documents and slots of the sample that orders shingles.
+BUCKET_ENTRIES, SAMPLED, SLOTS = 1_000_000, 10_000, 1 << 20
 #: Pivots of a family, besides the first pivot.
 PATTERNS = 8
 
@@ -67,7 +72,11 @@ def fingerprint(words: list[bytes], shingle: int, width: int) -> np.ndarray:
     if len(words) == 0:
         return np.zeros(width, np.uint64)
     grams = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else [words]
-    h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), map(b" ".join, grams)), np.uint64)
+    return majority(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), map(b" ".join, grams)), np.uint64), width)
+
+
+def majority(h: np.ndarray, width: int) -> np.ndarray:
+    """The bits that over half of these hashes have."""
     out = np.zeros(width, np.uint64)
     for k in range(width):
         own, count = (mix(h, k) if k else h), np.zeros(64, np.int64)
@@ -82,8 +91,8 @@ def _fingerprints(shingle: int, width: int):
     def task(batches):
         release()
         for batch in batches:
-            found = [fingerprint(t.lower().split(), shingle, width).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "fp"])
+            found = [fingerprint(t.lower().split(), shingle, width).astype("<u8").tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["id", "told", "fp"])
 
     return task
 
@@ -177,48 +186,43 @@ def close_pairs(pivots: Pivots, keys: np.ndarray, fps: np.ndarray):
                     yield a + order[same], a + order[same + 1]
 
 
-def _links(pivots: Pivots, sure: int):
-    """Rows come sorted by key.  Pairs that unite something, with their distance; those over ``sure`` from the closest on."""
+class Forest:
+    """Union-find over numbers."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def unite(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which of these pairs, in turn, joined two trees."""
+        out = np.zeros(len(left), bool)
+        for k, (x, y) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+            a, b = self.root(x), self.root(y)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+                out[k] = True
+        return out
+
+
+def _links(pivots: Pivots):
+    """Rows come sorted by key.  Pairs within the radius that unite something."""
 
     def task(batches):
         release()
-        parent: dict[int, int] = {}
-        pairs: list[tuple[int, int, int]] = []
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+        forest, pairs = Forest(), []
 
         def link(rows):
             keys, ids = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
             fps = np.concatenate([r[2] for r in rows])
-            doubtful, size = [], 0
             for left, right in close_pairs(pivots, keys, fps):
-                apart = np.bitwise_count(fps[left] ^ fps[right]).sum(axis=1, dtype=np.int64)
-                near = apart <= sure
-                unite(ids[left[near]], ids[right[near]], apart[near])
-                if not near.all():
-                    doubtful.append((ids[left[~near]], ids[right[~near]], apart[~near]))
-                    size += len(doubtful[-1][0])
-                if size > HELD_PAIRS:
-                    settle(doubtful)
-                    doubtful, size = [], 0
-            settle(doubtful)
-
-        def settle(doubtful):
-            if doubtful:
-                a, b, apart = (np.concatenate([x[k] for x in doubtful]) for k in range(3))
-                order = np.argsort(apart, kind="stable")
-                unite(a[order], b[order], apart[order])
-
-        def unite(left, right, apart):
-            for x, y, d in zip(left.tolist(), right.tolist(), apart.tolist(), strict=True):
-                a, b = root(x), root(y)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    pairs.append((x, y, d))
+                new = forest.unite(ids[left], ids[right])
+                pairs.extend(zip(ids[left[new]].tolist(), ids[right[new]].tolist(), strict=True))
 
         held, n = [], 0
         for batch in batches:
@@ -237,7 +241,7 @@ def _links(pivots: Pivots, sure: int):
             link(held)
         for at in range(0, len(pairs), 50_000):
             part = pairs[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in part], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["a", "b", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in part], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return task
 
@@ -259,6 +263,185 @@ def _gram_sets(shingle: int):
     return task
 
 
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _counts(shingle: int):
+    """A row a task: in how many texts each slot's shingles stand."""
+
+    def task(batches):
+        import zlib
+
+        total = np.zeros(SLOTS, np.int32)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                np.add.at(total, _slot(gram_set(t.lower().split(), shingle)), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["counts"])
+
+    return task
+
+
+def _summed(batches):
+    import zlib
+
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            total += np.frombuffer(zlib.decompress(x), np.int32)
+    ranks = np.minimum(4 * np.log2(1 + total), 255).astype(np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(ranks.tobytes(), 1)], pa.binary())], ["ranks"])
+
+
+def shingle_ranks(texts: DataFrame, shingle: int) -> bytes:
+    """A byte a slot, packed: about how often its shingles stand in a sample of texts."""
+    sample = texts.select("text").sample(min(1.0, SAMPLED / max(1, texts.count())), seed=5)
+    return sample.mapInArrow(_counts(shingle), "counts binary").repartition(1).mapInArrow(_summed, "ranks binary").first()[0]
+
+
+def prefix(grams: np.ndarray, ranks: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles of a sorted set, rare ones first, of which any set that is similar enough has one in its own prefix."""
+    order = np.argsort(ranks[_slot(grams)], kind="stable")
+    return grams[order[: len(grams) - math.ceil(least * len(grams) - 1e-9) + 1]] if len(grams) else grams
+
+
+def brief(prefix: np.ndarray) -> bytes:
+    """16 bits of each shingle, sorted."""
+    return np.sort(prefix >> np.uint64(48)).astype("<u2").tobytes()
+
+
+def _possible(least: float):
+    """Pairs whose prefixes share enough for their sets to be similar: at most that and the longer rest are in common."""
+
+    def task(batches):
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(k).to_pylist() for k in range(3, 7)), strict=True):
+                x, y = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
+                # bits may agree by chance, which only lets more through
+                both = min(np.count_nonzero(np.searchsorted(v, u, "right") > np.searchsorted(v, u)) for u, v in ((x, y), (y, x)))
+                keep.append((both + max(n - len(x), m - len(y))) * (1 + least) >= least * (n + m) - 1e-6)
+            yield batch.select([0, 1, 2]).filter(pa.array(keep, pa.bool_()))
+
+    return task
+
+
+def _prefixes(shingle: int, width: int, least: float, packed: bytes):
+    def task(batches):
+        release()
+        import zlib
+
+        ranks = np.frombuffer(zlib.decompress(packed), np.uint8)
+        for batch in batches:
+            out = []
+            for t in batch.column(2).to_pylist():
+                words = t.lower().split()
+                grams, fp = gram_set(words, shingle).astype("<u8"), fingerprint(words, shingle, width).astype("<u8").tobytes()
+                first = prefix(grams, ranks, least)
+                out.append((fp, fp, len(grams), first.tobytes(), brief(first)))
+            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "told", "key", "fp", "n", "prefix", "brief"])
+
+    return task
+
+
+def _deal(buckets: int):
+    """Nodes to a row for each batch and bucket: the prefixes' shingles with their places, and the nodes that have them."""
+    types = (pa.int64(), *[pa.binary()] * 6)
+
+    def task(batches):
+        for batch in batches:
+            nodes, fps, sizes, prefixes = (batch.column(k) for k in range(4))
+            tokens = [np.frombuffer(x, "<u8") for x in prefixes.to_pylist()]
+            length = np.array([len(x) for x in tokens], np.int64)
+            if not length.sum():
+                continue
+            token, doc = np.concatenate(tokens), np.repeat(np.arange(len(length)), length)
+            place = np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length)
+            nodes, sizes = nodes.to_numpy(), sizes.to_numpy()
+            fps = np.frombuffer(b"".join(fps.to_pylist()), "<u8").reshape(len(nodes), -1)
+            bucket = (mix(token, 3) >> np.uint64(33)).astype(np.int64) % buckets
+            turn = np.argsort(bucket, kind="stable")
+            edge = np.flatnonzero(np.r_[True, np.diff(bucket[turn]) != 0, True])
+            rows = []
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                own = turn[a:b]
+                docs, who = np.unique(doc[own], return_inverse=True)
+                arrays = (token[own], who.astype("<u4"), place[own].astype("<u4"), nodes[docs].astype("<i8"), sizes[docs].astype("<u4"), fps[docs])
+                rows.append((int(bucket[own[0]]), *(x.tobytes() for x in arrays)))
+            for k in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[k : k + 64]], t) for c, t in enumerate(types)], DEALT.replace(" long", "").replace(" binary", "").split(", "))
+
+    return task
+
+
+DEALT = "bucket long, tokens binary, who binary, places binary, nodes binary, sizes binary, fps binary"
+
+
+def prefix_pairs(token: np.ndarray, place: np.ndarray, size: np.ndarray, least: float):
+    """Index pairs of entries with equal shingles, sorted by shingle and size, that may be the first which similar sets share."""
+    live, lag = np.arange(len(token)), 1
+    while len(live := live[live + lag < len(token)]):
+        live = live[token[live + lag] == token[live]]
+        live = live[size[live] >= least * size[live + lag] - 1e-9]  # later ones are no smaller
+        rest = np.minimum(size[live] - place[live], size[live + lag] - place[live + lag])
+        near = live[rest * (1 + least) >= least * (size[live] + size[live + lag]) - 1e-6]
+        if len(near):
+            yield near, near + lag
+        lag += 1
+
+
+def _meet(least: float, width: int):
+    """Rows come sorted by bucket.  Pairs that may be similar enough; early: those of a forest from the closest on."""
+
+    def task(batches):
+        release()
+        forest = Forest()
+
+        def sent(found):
+            a, b, apart = (np.concatenate([x[k] for x in found]) for k in range(3))
+            order = np.lexsort((b, a))
+            order = order[np.r_[True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)]]
+            order = order[np.argsort(apart[order], kind="stable")]
+            a, b = a[order], b[order]
+            early = forest.unite(a, b)
+            for at in range(0, len(a), 50_000):
+                cut = slice(at, at + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (a, b, early)], ["a", "b", "early"])
+
+        def bucket(rows):
+            token, place, node, size, fps = (np.concatenate([r[k] for r in rows]) for k in range(5))
+            at = np.repeat(np.cumsum([0, *(len(r[2]) for r in rows[:-1])]), [len(r[0]) for r in rows]) + np.concatenate([r[5] for r in rows])
+            size = size.astype(np.int64)
+            turn = np.lexsort((size[at], token))
+            token, place, at = token[turn], place[turn].astype(np.int64), at[turn]
+            found, n = [], 0
+            for left, right in prefix_pairs(token, place, size[at], least):
+                x, y = at[left], at[right]
+                apart = np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1, dtype=np.int64)
+                found.append((np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), apart))
+                n += len(x)
+                if n > HELD_PAIRS:
+                    yield from sent(found)
+                    found, n = [], 0
+            if found:
+                yield from sent(found)
+
+        now, held = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != now and held:
+                    yield from bucket(held)
+                    held = []
+                now = row[0]
+                token, who, place, node, size, fps = (np.frombuffer(x, t) for x, t in zip(row[1:], ("<u8", "<u4", "<u4", "<i8", "<u4", "<u8"), strict=True))
+                held.append((token, place, node, size, fps.reshape(-1, width), who.astype(np.int64)))
+        if held:
+            yield from bucket(held)
+
+    return task
+
+
 def _alike(least: float):
     def task(batches):
         for batch in batches:
@@ -272,41 +455,86 @@ def _alike(least: float):
     return task
 
 
-def alike(texts: DataFrame, pairs: DataFrame, shingle: int, least: float, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of ids whose texts' shingle sets have that Jaccard similarity; of several texts of an id, any."""
-    wanted = scratch.save(pairs.select(F.col("a").alias("wanted")).unionByName(pairs.select(F.col("b").alias("wanted"))).distinct(), "wanted")
-    sets = scratch.save(texts.join(wanted, texts["id"] == wanted["wanted"]).select("id", "text").mapInArrow(_gram_sets(shingle), "id long, grams binary"), "sets")
+def alike(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, least: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have that Jaccard similarity."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = scratch.save(nodes.join(wanted, "node").select("node", "id", "told"), "wanted")
+    own = texts.join(wanted, ["id", "told"]).groupBy("node").agg(F.first("text").alias("text"))
+    sets = scratch.save(own.select("node", "text").mapInArrow(_gram_sets(shingle), "id long, grams binary"), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(_alike(least), "a long, b long")
+    return scratch.save(both.select("a", "b", "left", "right").mapInArrow(_alike(least), "a long, b long"), "alike")
+
+
+def _similar_links(texts: DataFrame, nodes: DataFrame, width: int, shingle: int, least: float, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join just what all pairs of nodes of that similarity join."""
+    buckets = partitions_for(texts.sparkSession, nodes.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0, 8 * BUCKET_ENTRIES)
+    dealt = nodes.select("node", "fp", "n", "prefix").mapInArrow(_deal(buckets), DEALT)
+    met = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(least, width), "a long, b long, early boolean")
+    met = scratch.save(met.groupBy("a", "b").agg(F.max("early").alias("early")), "met")
+    end = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("brief").alias(f"{c}_brief"))
+    known = met.join(end("a"), "a").join(end("b"), "b").select("a", "b", "early", "a_n", "b_n", "a_brief", "b_brief")
+    pairs = scratch.save(known.mapInArrow(_possible(least), "a long, b long, early boolean"), "pairs")
+    first = alike(texts, nodes, pairs.where("early").select("a", "b"), shingle, least, scratch)
+    return first
+
+
+def _members(docs: DataFrame, pivots: Pivots, shingle: int, id_column: str, text_column: str, similar: float | None) -> DataFrame:
+    """A row a document: id (LAST_ID for null), told (a hash of the text), fp, and of its group the first id and told."""
+    spark, scratch, linking = docs.sparkSession, Scratch(docs.sparkSession, "simhash"), Scratch(docs.sparkSession, "simhash-links")
+    texts = docs.select(_id(id_column).alias("id"), _told(text_column).alias("told"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("text"))
+    if similar is None:
+        found = texts.mapInArrow(_fingerprints(shingle, pivots.width), "id long, told long, fp binary").withColumn("key", F.col("fp"))
+    else:
+        found = texts.mapInArrow(_prefixes(shingle, pivots.width, similar, shingle_ranks(texts, shingle)), "id long, told long, key binary, fp binary, n int, prefix binary, brief binary")
+    prints = linking.save(found, "prints")
+    parts = [F.first(c).alias(c) for c in prints.columns[2:] if c != "key"]
+    nodes = prints.groupBy("key").agg(F.min(F.struct("id", "told")).alias("least"), *parts)
+    nodes = linking.save(nodes.select(F.monotonically_increasing_id().alias("node"), "least.*", *nodes.columns[:1], *nodes.columns[2:]), "nodes")
+    if similar is None:
+        keyed = nodes.select("node", "fp").mapInArrow(_keys(pivots), "key long, id long, fp binary")
+        count = partitions_for(spark, nodes.count() * len(pivots.keys), 500_000)
+        links = keyed.repartition(count, "key").sortWithinPartitions("key").mapInArrow(_links(pivots), "a long, b long")
+    else:
+        links = _similar_links(texts, nodes, pivots.width, shingle, similar, linking)
+    free_shuffles(spark)
+    roots = stars(links, linking)
+    rooted = linking.save(nodes.join(roots.withColumnRenamed("node", "at"), nodes["node"] == F.col("at"), "left").select("key", "id", "told", F.coalesce("root", "node").alias("root")), "rooted")
+    first = rooted.groupBy("root").agg(F.min(F.struct("id", "told")).alias("first"))
+    named = rooted.join(first, "root").select("key", F.col("first.id").alias("first_id"), F.col("first.told").alias("first_told"))
+    out = scratch.save(prints.join(named, "key").select("id", "told", "fp", "first_id", "first_told"), "members")
+    linking.close()
+    free_shuffles(spark)
+    return out
+
+
+def _id(column: str):
+    return F.coalesce(F.col(column).cast("long"), F.lit(LAST_ID))
 
 
-def groups(docs: DataFrame, pivots: Pivots, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text", similar: float | None = None, sure: int = 0) -> DataFrame:
+def _told(column: str):
+    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+
+
+def groups(docs: DataFrame, pivots: Pivots, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text", similar: float | None = None) -> DataFrame:
     """A row a document: doc_id, fp (binary, little-endian words) and component_id.
 
-    similar: pairs over ``sure`` bits apart are links only at that Jaccard similarity of their shingle sets.
+    similar: links are the pairs of that Jaccard similarity of their shingle sets, not those within the radius.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "simhash")
-    texts = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("text"))
-    prints = scratch.save(texts.mapInArrow(_fingerprints(shingle, pivots.width), "id long, fp binary"), "prints")
-    nodes = scratch.save(prints.groupBy("fp").agg(F.min("id").alias("id")).select("id", "fp"), "nodes")
-    keyed = nodes.mapInArrow(_keys(pivots), "key long, id long, fp binary")
-    parts = partitions_for(spark, nodes.count() * len(pivots.keys), 500_000)
-    links = keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_links(pivots, pivots.radius if similar is None else sure), "a long, b long, d int")
-    if similar is not None:
-        links = scratch.save(links, "pairs")
-        pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        doubtful = scratch.save(links.where(F.col("d") > sure).select(*pair).distinct(), "doubtful")
-        links = links.where(F.col("d") <= sure).select("a", "b").unionByName(alike(texts, doubtful, shingle, similar, scratch))
-    # a document with several texts is several nodes of one id: nothing to link
-    roots = stars(links, scratch)
-    named = nodes.join(roots, nodes["id"] == roots["node"], "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    return prints.join(named, "fp").select(real("id").alias("doc_id"), "fp", real("component_id").alias("component_id"))
+    found = _members(docs, pivots, shingle, id_column, text_column, similar)
+    return found.select(real("id").alias("doc_id"), "fp", real("first_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, pivots: Pivots, shingle: int, id_column: str = "doc_id", text_column: str = "text", similar: float | None = None, sure: int = 0) -> DataFrame:
-    """docs without those whose group has a smaller doc_id; of rows that repeat a doc_id all stay, as do rows without one."""
-    found = groups(docs, pivots, shingle, id_column, text_column, similar, sure)
-    gone = fresh("gone", docs.columns)
-    drop = found.where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(drop, docs[id_column] == drop[gone], "left_anti")
+def keep_one(docs: DataFrame, pivots: Pivots, shingle: int, id_column: str = "doc_id", text_column: str = "text", similar: float | None = None) -> DataFrame:
+    """docs without those whose group has a smaller doc_id; of rows that repeat that doc_id all in the group stay.
+
+    Of a group without doc_ids all rows stay.
+    """
+    found = _members(docs, pivots, shingle, id_column, text_column, similar)
+    at, told, gone, gone_told = (fresh(x, docs.columns) for x in ("at", "told", "gone", "gone_told"))
+    left = (F.col("first_id") != F.col("id"))
+    drop = found.where(left).select(F.col("id").alias(gone), F.col("told").alias(gone_told)).distinct()
+    drop = Scratch(docs.sparkSession, "simhash-gone").save(drop, "gone")  # of known size: few rows are broadcast, and docs stay in place
+    marked = docs.withColumn(at, _id(id_column)).withColumn(told, _told(text_column))
+    kept = marked.join(drop, (F.col(at) == F.col(gone)) & (F.col(told) == F.col(gone_told)), "left_anti")
+    return kept.select(*docs.columns)

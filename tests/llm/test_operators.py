@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gridfield.llm import containers, licenses, media, mixing, packing, quality, sharding, simhash, substrings, toxicity
 from gridfield.llm.queries import tokenizer_path
 
@@ -128,6 +129,24 @@ def test_doubtful_links_are_checked_on_the_texts(spark):
     assert simhash.keep_one(empty(spark), simhash.sampled_families(60, 4, 64, 20), 5, similar=0.8).count() == 0
 
 
+def sentence(rng, n):
+    return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def near_ids(spark, rows):
+    """The ids that the pipeline's stage keeps."""
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA).repartition(4)
+    return [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id").collect()]
+
+
+def test_no_pair_at_the_least_similarity_is_missed(spark):
+    rng, rows = random.Random(21), []
+    for i in range(150):  # 90 shingles each, 80 in common
+        base = sentence(rng, 94)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:-10] + sentence(rng, 10)))]
+    assert sorted(near_ids(spark, rows)) == list(range(0, 300, 2))
+
+
 def test_token_files(spark, docs):
     df, rows = docs
     files = containers.write(df, tokenizer_path(), 1, container_bytes=4000)
