@@ -19,8 +19,10 @@ With ``similar``, links are the pairs of texts whose sets of shingles have that
 still the texts of one fingerprint, of which one is checked.  Keys are the shingles of a set's prefix: with
 n shingles in one order that holds for the whole table, the first n - ceil(similar * n) + 1; two sets that are similar
 enough share a shingle of both prefixes, and the places of the first one they share bound how many they may share.  The
-order is by counts in a sample, rare ones first: it decides how long buckets are, and not what is found.  Of the pairs
-that these bounds leave, those of a spanning forest from the closest fingerprints on are checked on the sets.
+order is by counts in a sample, rare ones first: it decides how long buckets are, and not what is found.  Every pair that
+these bounds leave is checked on the sets, none is discarded by its fingerprints.  They only say which are checked first:
+those of a spanning forest from the closest pairs on.  Then the pairs that the confirmed links don't join already are
+checked too, so no unconfirmed pair hides another.  The order of pairs and the number of tasks don't change the groups.
 
 Cases.  Null or blank text: fingerprint zero, linked like any other.  Fewer words than a shingle: the whole sequence is
 one shingle.  Null doc_id or repeated ones: each row goes by its own text; component_id is the smallest doc_id of the
@@ -475,7 +477,11 @@ def _similar_links(texts: DataFrame, nodes: DataFrame, width: int, shingle: int,
     known = met.join(end("a"), "a").join(end("b"), "b").select("a", "b", "early", "a_n", "b_n", "a_brief", "b_brief")
     pairs = scratch.save(known.mapInArrow(_possible(least), "a long, b long, early boolean"), "pairs")
     first = alike(texts, nodes, pairs.where("early").select("a", "b"), shingle, least, scratch)
-    return first
+    roots = stars(first, scratch)
+    end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    apart = F.coalesce("a_root", "a") != F.coalesce("b_root", "b")
+    rest = scratch.save(pairs.where("not early").join(end("a"), "a", "left").join(end("b"), "b", "left").where(apart).select("a", "b"), "rest")
+    return first if rest.isEmpty() else first.unionByName(alike(texts, nodes, rest, shingle, least, scratch))
 
 
 def _members(docs: DataFrame, pivots: Pivots, shingle: int, id_column: str, text_column: str, similar: float | None) -> DataFrame:

@@ -147,6 +147,18 @@ def test_no_pair_at_the_least_similarity_is_missed(spark):
     assert sorted(near_ids(spark, rows)) == list(range(0, 300, 2))
 
 
+def test_unlike_copies_of_one_text_all_go(spark):
+    """A star: copies are 0.8 like the original (id 0) and less than that like each other."""
+    rng = random.Random(22)
+    base = sentence(rng, 94)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 500):
+        w, (a, b) = list(base), rng.choice([(x, y) for x in range(5, 84) for y in range(x + 5, 89)])
+        w[a], w[b] = sentence(rng, 2)
+        rows.append((i, " ".join(w)))
+    assert near_ids(spark, rows) == [0]
+
+
 def test_token_files(spark, docs):
     df, rows = docs
     files = containers.write(df, tokenizer_path(), 1, container_bytes=4000)
