@@ -16,7 +16,7 @@ forest: a bucket of n nodes makes n - 1 links at most.  Buckets over ``BUCKET_PA
 two, are linked by sorting on every choice of two erased bits instead, linear in n and as exact.
 
 With ``similar``, links are the pairs of texts whose sets of shingles have that Jaccard similarity, all of them.  A node is
-still the texts of one fingerprint, of which one is checked.  Keys are the shingles of a set's prefix: with
+then a set of shingles, and its fingerprint is taken from distinct shingles.  Keys are the shingles of a set's prefix: with
 n shingles in one order that holds for the whole table, the first n - ceil(similar * n) + 1; two sets that are similar
 enough share a shingle of both prefixes, and the places of the first one they share bound how many they may share.  The
 order is by counts in a sample, rare ones first: it decides how long buckets are, and not what is found.  Every pair that
@@ -333,14 +333,15 @@ def _prefixes(shingle: int, width: int, least: float, packed: bytes):
         release()
         import zlib
 
+        import xxhash
+
         ranks = np.frombuffer(zlib.decompress(packed), np.uint8)
         for batch in batches:
             out = []
             for t in batch.column(2).to_pylist():
-                words = t.lower().split()
-                grams, fp = gram_set(words, shingle).astype("<u8"), fingerprint(words, shingle, width).astype("<u8").tobytes()
+                grams = gram_set(t.lower().split(), shingle).astype("<u8")
                 first = prefix(grams, ranks, least)
-                out.append((fp, fp, len(grams), first.tobytes(), brief(first)))
+                out.append((xxhash.xxh3_128_digest(grams.tobytes()), majority(grams, width).astype("<u8").tobytes(), len(grams), first.tobytes(), brief(first)))
             columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "told", "key", "fp", "n", "prefix", "brief"])
 

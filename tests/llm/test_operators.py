@@ -159,6 +159,23 @@ def test_unlike_copies_of_one_text_all_go(spark):
     assert near_ids(spark, rows) == [0]
 
 
+def test_repeated_lines_neither_join_nor_part_texts(spark):
+    """Similarity is one of sets, however often a shingle stands in a text."""
+    rng, rows, want = random.Random(23), [], []
+    line = " ".join(sentence(rng, 12))
+    for i in range(20):  # own shingles, and a line that they share 30 times over
+        rows.append((i, "\n".join([" ".join(sentence(rng, 104)), *[line] * 30])))
+        want.append(i)
+    for i in range(20, 24):  # one shingle makes over half of all
+        rows.append((i, " ".join(sentence(rng, 40) + ["la"] * 100)))
+        want.append(i)
+    for i in range(30, 50, 2):  # a copy with one of its lines 20 times more
+        base = sentence(rng, 200)
+        rows += [(i, " ".join(base)), (i + 1, " ".join(base + base[:10] * 20))]
+        want.append(i)
+    assert sorted(near_ids(spark, rows)) == want
+
+
 def test_token_files(spark, docs):
     df, rows = docs
     files = containers.write(df, tokenizer_path(), 1, container_bytes=4000)
