@@ -535,13 +535,14 @@ def groups(docs: DataFrame, pivots: Pivots, shingle: int = 3, id_column: str = "
 def keep_one(docs: DataFrame, pivots: Pivots, shingle: int, id_column: str = "doc_id", text_column: str = "text", similar: float | None = None) -> DataFrame:
     """docs without those whose group has a smaller doc_id; of rows that repeat that doc_id all in the group stay.
 
-    Of a group without doc_ids all rows stay.
+    Of a group without doc_ids one row stays.
     """
     found = _members(docs, pivots, shingle, id_column, text_column, similar)
     at, told, gone, gone_told = (fresh(x, docs.columns) for x in ("at", "told", "gone", "gone_told"))
-    left = (F.col("first_id") != F.col("id"))
+    left = (F.col("first_id") != F.col("id")) | (F.col("id") == LAST_ID) & (F.col("first_told") != F.col("told"))
     drop = found.where(left).select(F.col("id").alias(gone), F.col("told").alias(gone_told)).distinct()
     drop = Scratch(docs.sparkSession, "simhash-gone").save(drop, "gone")  # of known size: few rows are broadcast, and docs stay in place
     marked = docs.withColumn(at, _id(id_column)).withColumn(told, _told(text_column))
     kept = marked.join(drop, (F.col(at) == F.col(gone)) & (F.col(told) == F.col(gone_told)), "left_anti")
-    return kept.select(*docs.columns)
+    unnamed = kept.where(F.col(at) == LAST_ID).dropDuplicates([told])
+    return kept.where(F.col(at) != LAST_ID).unionByName(unnamed).select(*docs.columns)

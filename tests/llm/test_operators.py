@@ -176,6 +176,19 @@ def test_repeated_lines_neither_join_nor_part_texts(spark):
     assert sorted(near_ids(spark, rows)) == want
 
 
+def test_rows_without_ids_are_rows_of_their_own(spark):
+    rng = random.Random(24)
+    a, b, c = (" ".join(sentence(rng, 60)) for _ in range(3))
+    rows = [(5, a), (9, b), (None, a.upper()), (None, b.upper()), (None, c), (None, c), (None, c.upper()), (7, b + " x"), (7, c + " y z")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA).repartition(3)
+    first = {i: {r["component_id"] for r in simhash.groups(docs, simhash.spare_families(2)).where(f"doc_id <=> {i}").collect()} for i in ("5", "9")}
+    assert first == {"5": {5}, "9": {9}}
+    kept = simhash.keep_one(docs.where("doc_id is null or doc_id <> 7"), simhash.spare_families(2), 3).select("doc_id", F.lower("text")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(5, a), (9, b), (None, c)], key=str)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept)) == sorted([(5, a), (7, b + " x"), (7, c + " y z")])
+
+
 def test_token_files(spark, docs):
     df, rows = docs
     files = containers.write(df, tokenizer_path(), 1, container_bytes=4000)
