@@ -9,7 +9,8 @@ bracket around each multiplier replaces steps that leave it.  Sums are exact dec
 Rates become copies by carrying the error on: chunks of a source take their documents from the longest to the shortest,
 give each floor or ceiling of its rate, whichever brings the chunk's words nearer to its share, and pass the rest on; what
 remains is about the size of the shortest documents.  A source of any size is split into chunks of ``CHUNK`` documents
-or so by a hash.
+or so by a hash.  Rows that agree in every column are counted first and rounded together, as one entry: so many of them get
+one copy more than the others.  However many they are, they make one entry, and are dealt out again by many tasks.
 
 Targets.  ``share`` of all tokens is dealt by weight; a target stops at ``cap`` times its source's size and the excess is
 dealt again by weight among the others until none is above.  With ``share`` over ``cap`` all stop there.
@@ -17,7 +18,9 @@ dealt again by weight among the others until none is above.  With ``share`` over
 Only per-source figures reach the driver (``max_sources``, checked; more raise an error).
 
 Cases.  Null or blank text: size 0, rate 1, one copy.  Null source: a source of its own, last in order.  Null doc_id or
-rows that repeat one: each row is a document.  Sources with no tokens: target 0.  Empty table: empty result.
+rows that repeat one: each row is a document.  Ties between floor and ceiling: floor.  Sources with no tokens: target 0.
+Very long texts: one number each.  Empty table: empty result.  Extra columns, whatever their names: ``mix`` leaves them out,
+``mixed`` passes them through.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridfield.llm import runtime
-from gridfield.llm.runtime import SPACES, Scratch, fresh, partitions_for
+from gridfield.llm.runtime import SPACES, Scratch, dealt_out, fresh, partitions_for
 
 runtime.ship(sys.modules[__name__])
 
@@ -99,37 +102,42 @@ def solve(hist: DataFrame, totals: list, goal: list[float], cap: float, toleranc
 
 
 def _round(cap: float):
-    """A chunk's rows come together, longest first: the chunk's number first, its size second, its rate last."""
+    """A chunk's classes come together, longest first: the chunk's number, size, rate and rows first."""
 
     def task(batches):
         at, carry = None, 0.0
         for batch in batches:
-            out = []
-            for chunk, size, rate in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
+            least, extra = [], []
+            for chunk, size, rate, rows in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if chunk != at:
                     at, carry = chunk, 0.0
                 if size == 0:
-                    out.append(1)
+                    least.append(1)
+                    extra.append(0)
                     continue
                 low = math.floor(rate + 1e-9)
-                high = min(low + 1, math.floor(cap)) if rate - low > 1e-9 else low
-                want = rate * size + carry
-                n = high if abs(high * size - want) < abs(low * size - want) else low
-                carry = want - n * size
-                out.append(n)
-            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(out, pa.int64())], [*batch.schema.names[3:], "copies"])
+                want = rate * size * rows + carry
+                more = min(rows, max(0, math.ceil(want / size - low * rows - 0.5))) if rate - low > 1e-9 and low < math.floor(cap) else 0
+                carry = want - (low * rows + more) * size
+                least.append(low)
+                extra.append(more)
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(least, pa.int64()), pa.array(extra, pa.int64())], [*batch.schema.names[3:], "least", "extra"])
 
     return task
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", max_sources: int = MAX_SOURCES) -> DataFrame:
-    """A row a document: doc_id, size, source_size, target, rate, copies, taken, row (its number in the input), crc.
+def _row_hash(docs: DataFrame):
+    """Of all columns that have a hash."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()))
 
-    weights repeat over the sources in code-point order, null last.
-    """
+
+def classes(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", max_sources: int = MAX_SOURCES) -> DataFrame:
+    """A row for each set of equal rows: doc_id, told (a hash of the row), size, source_size, target, rate, rows, least
+    (copies of each) and extra (rows that get one more).  weights repeat over the sources in code-point order, null last."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mixing")
-    sized = scratch.save(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(source_column).cast("string").alias("source"), word_count(F.col(text_column)).alias("size"), F.crc32(F.coalesce(F.col(text_column), F.lit("")).cast("binary")).alias("crc")), "sizes")
-    hist = scratch.save(sized.groupBy("source", "size").agg(F.count("*").alias("documents")), "classes")
+    sized = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{source_column}`").cast("string").alias("source"), word_count(F.col(f"`{text_column}`")).alias("size"), _row_hash(docs).alias("told"))
+    sized = scratch.save(sized.groupBy("doc_id", "source", "size", "told").agg(F.count("*").alias("rows")), "sizes")
+    hist = scratch.save(sized.groupBy("source", "size").agg(F.sum("rows").alias("documents")), "classes")
     tokens = F.col("size") * F.col("documents")
     totals = hist.groupBy("source").agg(F.sum(tokens).alias("size"), F.sum("documents").alias("documents"), F.max("size").alias("longest"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("shortest")).limit(max_sources + 1).collect()
     if len(totals) > max_sources:
@@ -141,23 +149,40 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     at = solve(named, totals, goal, cap)
     plan = spark.createDataFrame([(r["source"], k, at[k], int(r["size"]), float(goal[k]), max(1, math.ceil(r["documents"] / CHUNK))) for k, r in enumerate(totals)], "name string, source_no int, at double, source_size long, target double, chunks int")
     rate = F.when(F.col("size") == 0, 1.0).otherwise(F.exp(F.least(F.col("at") * F.col("size"), F.lit(math.log(cap)))))
-    planned = sized.join(plan, sized["source"].eqNullSafe(plan["name"])).withColumn("rate", rate).withColumn("chunk", F.concat_ws(":", "source_no", F.pmod(F.xxhash64("doc_id", "crc"), F.col("chunks"))))
-    columns = ["doc_id", "crc", "size", "source_size", "target", "rate"]
+    planned = sized.join(plan, sized["source"].eqNullSafe(plan["name"])).withColumn("rate", rate).withColumn("chunk", F.concat_ws(":", "source_no", F.pmod(F.xxhash64("doc_id", "told"), F.col("chunks"))))
+    columns = ["rows", "doc_id", "told", "size", "source_size", "target", "rate"]
     turned = planned.select("chunk", F.col("size").alias("by"), F.col("rate").alias("r"), *columns)
     parts = partitions_for(spark, sum(r["documents"] for r in totals), 100_000)
-    dealt = turned.repartition(parts, "chunk").sortWithinPartitions("chunk", F.desc("by"), "doc_id", "crc")
-    schema = T.StructType([turned.schema[c] for c in columns] + [T.StructField("copies", T.LongType())])
-    return dealt.mapInArrow(_round(cap), schema).withColumn("taken", F.col("copies") * F.col("size"))
+    dealt = turned.repartition(parts, "chunk").sortWithinPartitions("chunk", F.desc("by"), "doc_id", "told")
+    schema = T.StructType([turned.schema[c] for c in columns] + [T.StructField(c, T.LongType()) for c in ("least", "extra")])
+    return scratch.save(dealt.mapInArrow(_round(cap), schema), "rounded")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """A row a document: doc_id, size, source_size, target, rate, copies, taken.  options: as in ``classes``."""
+    rows = dealt_out(classes(docs, **options), "rows", "turn").withColumn("copies", F.col("least") + (F.col("turn") < F.col("extra")).cast("long"))
+    return rows.select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """docs, each row as many times as the mix takes it (rows that agree in doc_id and text alike)."""
-    text = options.get("text_column", "text")
-    plan = mix(docs, id_column=id_column, **options)
-    names = [fresh(x, docs.columns) for x in ("mix_id", "mix_crc", "mix_copies", "mix_turn")]
-    taken = plan.groupBy("doc_id", "crc").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    # rows alike share their copies: the first takes what doesn't divide
-    taken = taken.select(F.col("doc_id").alias(names[0]), F.col("crc").alias(names[1]), F.greatest(F.ceil(F.col("copies") / F.col("rows")).cast("int"), F.lit(0)).alias(names[2]))
-    crc = F.crc32(F.coalesce(docs[text], F.lit("")).cast("binary"))
-    joined = docs.join(taken, docs[id_column].cast("long").eqNullSafe(taken[names[0]]) & (crc == taken[names[1]]))
-    return joined.where(F.col(names[2]) > 0).withColumn(names[3], F.explode(F.sequence(F.lit(1), F.col(names[2])))).select(*(docs[c] for c in docs.columns))
+    """docs, each row as many times as the mix takes it.  Of equal rows, those with one copy more are repeats of one of them."""
+    plan = classes(docs, id_column=id_column, **options)
+    at, told, copies, turn = (fresh(x, docs.columns) for x in ("mix_id", "mix_told", "mix_copies", "mix_turn"))
+    every = F.col("least") + (F.col("extra") == F.col("rows")).cast("long")
+    some = (F.col("extra") > 0) & (F.col("extra") < F.col("rows"))
+    key = lambda count: [F.col("doc_id").alias(at), F.col("told").alias(told), count.cast("int").alias(copies)]
+
+    def joined(wanted):
+        found = docs.withColumn(f"{told}_own", _row_hash(docs))
+        return found.join(wanted, found[id_column].cast("long").eqNullSafe(wanted[at]) & (found[f"{told}_own"] == wanted[told])).drop(f"{told}_own")
+
+    def repeated(rows, most):
+        return rows.where(F.col(copies) > 0).withColumn(turn, F.explode(F.sequence(F.lit(1), most)))
+
+    out = repeated(joined(plan.select(*key(every))), F.col(copies)).select(*docs.columns)
+    wanted = plan.where(some).select(*key(F.col("extra")))
+    if wanted.isEmpty():
+        return out
+    one = joined(wanted).groupBy(at, told).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"), F.first(copies).alias("n"))
+    more = dealt_out(one.select("row", "n"), "n", "turn").select("row.*")
+    return out.unionByName(more)

@@ -49,10 +49,10 @@ class Scratch:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -92,6 +92,16 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
+def dealt_out(classes: DataFrame, rows: str, turn: str, block: int = 1000) -> DataFrame:
+    """A class of ``rows`` equal rows becomes that many, numbered from 0 in ``turn``; large classes by many tasks."""
+    spark, first = classes.sparkSession, fresh("first", classes.columns + [turn])
+    single = classes.where(F.col(rows) == 1).withColumn(turn, F.lit(0).cast("long"))
+    many = classes.where(F.col(rows) > 1).withColumn(first, F.explode(F.sequence(F.lit(0).cast("long"), F.col(rows).cast("long") - 1, F.lit(block).cast("long"))))
+    many = many.repartition(partitions_for(spark, 1, 1), F.xxhash64(*many.columns))
+    last = F.least(F.col(first) + block, F.col(rows).cast("long")) - 1
+    return single.unionByName(many.withColumn(turn, F.explode(F.sequence(F.col(first), last))).drop(first))
+
+
 def ship(module) -> None:
     """Functions of this module go to the workers by value: executors need no copy of the package."""
     from pyspark import cloudpickle
