@@ -57,10 +57,10 @@ def op6_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gridfield.llm.toxicity import score, train
+    from gridfield.llm.toxicity import graded, score, train
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, train(docs, table(spark, sf_dir, "labels"))).drop("text")
+    return score(docs, train(docs, graded(table(spark, sf_dir, "labels")))).drop("text")
 
 
 def op8_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,21 +4,25 @@ P(severity > j) = logistic(w.x - cut_j), with one weight vector for all threshol
 severity is the sum of these probabilities over j, from 0 to the top grade.
 
 Features: the distinct words of the whole text, letters and digits only, A-Z in lower case, and the words' beginnings of
-4 to 6 bytes, which stand for stems that many endings follow; hashed to ``DIMENSIONS``.  A feature is 1 if present.  A document's evidence must not thin out as the text grows, so features
-aren't divided by length, and only features that lean to either label beyond chance in the labelled sample (likelihood ratio, in
-``MIN_DOCS`` documents at least) have weights: the many words that no label speaks of weigh nothing.
-
-Grades.  Labels say toxic or not.  Toxic documents are graded 1 (mild) or 2 (severe): severe if their words of
-high log-odds for toxic, counted by distinct words, number over the median of the toxic ones.
-
-Fitting takes a bounded sample of labelled documents, those with the smallest hashes of doc_id, up to ``per_label`` of
-either label; scoring reads every text.  A document is rejected if its expected severity reaches ``cutoff``, which is
-chosen on a quarter of the sample that isn't fitted on: above the expected severity of all but ``max_false`` of the
+4 to 6 bytes, which stand for stems that many endings follow; hashed to ``DIMENSIONS``.  A feature is 1 if present.  A
+document's evidence must not thin out as the text grows, so features aren't divided by length, and only features that lean
+to either label beyond chance in the labelled sample (likelihood ratio, in ``MIN_DOCS`` documents at least) have weights, and
+the ``FEW`` that lean most to toxic: the many words that no label speaks of weigh nothing.
+
+Grades are the labels': 0 is clean, and 1, 2, ... worse and worse.  ``graded`` makes three of the labels toxic and quality: a
+toxic document that is also of poor quality is worse than one of good quality.  Grades without labelled documents above the
+highest one seen have no threshold.
+
+Fitting takes a bounded sample of labelled documents, those with the smallest hashes of doc_id, up to ``per_label`` clean
+and as many others; scoring reads every text.  A document is rejected if its expected severity reaches ``cutoff``, which is
+chosen on a quarter of each grade's sample that isn't fitted on: above the expected severity of all but ``max_false`` of the
 clean held-out documents (of all, in small samples), half the way to the next toxic one.
 
 Cases.  Null or blank text: no features, the severity of the cuts alone, so not rejected.  No labelled documents, or
-labels of one kind: every severity 0, none rejected.  Labels that are null count as none; repeated labels of a document: toxic if any is.
-Null doc_id: scored, never labelled.  Extra columns pass through; added columns take underscores if their names are taken.
+labels of one kind: every severity near 0, none rejected.  Labels that are null count as none; repeated labels of a document:
+the worst.  Null doc_id: scored, never labelled; rows that repeat a labelled doc_id are all in the sample.  Very long texts: distinct
+words only.  Ties with the cutoff: rejected.  Extra columns pass through; added columns take underscores if their names are
+taken (``added_columns``).  Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -38,8 +42,10 @@ from gridfield.llm.runtime import fresh, release
 runtime.ship(sys.modules[__name__])
 
 DIMENSIONS, MIN_DOCS, PER_LABEL = 1 << 20, 3, 3000
-#: Features that speak for toxic, at least, where the sample has so many.
+#: Features that lean most to toxic and have weights in any case.
 FEW = 8
+#: Rows of a batch that are scored at a time.
+ROWS = 1000
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -61,9 +67,19 @@ class Model:
     def __init__(self, weights: dict[int, float], cuts: list[float], cutoff: float):
         self.weights, self.cuts, self.cutoff = weights, cuts, cutoff
 
-    def severity(self, found) -> float:
-        z = sum(self.weights[f] for f in found if f in self.weights)
-        return float(sum(1 / (1 + np.exp(np.clip(c - z, -500, 500))) for c in self.cuts))
+    def above(self, z: np.ndarray) -> np.ndarray:
+        """Chances of a severity over each threshold, a row a document."""
+        return 1 / (1 + np.exp(np.clip(np.array(self.cuts)[None, :] - z[:, None], -500, 500)))
+
+    def severity(self, found: list) -> np.ndarray:
+        """Expected severity of each of these sets of features."""
+        return self.above(np.array([sum(self.weights.get(f, 0.0) for f in x) for x in found])).sum(axis=1)
+
+
+def graded(labels: DataFrame) -> DataFrame:
+    """doc_id and grade: 0 clean, 1 toxic, 2 toxic and of poor quality."""
+    poor = F.coalesce((F.col("quality") == 0).cast("int"), F.lit(0))
+    return labels.select("doc_id", F.when(F.col("toxic") > 0, 1 + poor).otherwise(F.col("toxic")).alias("grade"))
 
 
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, dimensions: int, top: int, penalty: float = 0.02, steps: int = 300):
@@ -93,10 +109,10 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, dimensions: int, top
     return w * scale, cuts
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_false: float = 0.002, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_false: float = 0.002, id_column: str = "doc_id", text_column: str = "text", label_column: str = "grade") -> Model:
     told = labels.where(F.col("doc_id").isNotNull() & F.col(label_column).isNotNull()).groupBy("doc_id").agg(F.max(label_column).cast("int").alias("y"))
     turn = F.xxhash64("doc_id")
-    chosen = [r for y in (0, 1) for r in told.where(F.col("y") == y).orderBy(turn, "doc_id").limit(per_label).collect()]
+    chosen = [r for kind in (F.col("y") <= 0, F.col("y") > 0) for r in told.where(kind).orderBy(turn, "doc_id").limit(per_label).collect()]
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in chosen], "label_id long, y int")
     sample = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("text")).join(F.broadcast(ids), F.col("id") == F.col("label_id"))  # at most 2 * per_label ids
 
@@ -109,52 +125,54 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_fa
 
 
 def fit(rows: list, max_false: float) -> Model:
-    """rows: y (0 or 1) and f, distinct features as little-endian unsigned 32-bit integers."""
-    y = np.array([r["y"] for r in rows], np.int64)
-    if not len(rows) or y.min() == 1 or y.max() == 0:
-        return Model({}, [50.0, 51.0], 1.0)
+    """rows: y (a grade from 0) and f, distinct features as little-endian unsigned 32-bit integers."""
+    grades = np.array([max(0, r["y"]) for r in rows], np.int64)
+    y = grades > 0
+    if not len(rows) or y.all() or not y.any():
+        return Model({}, [50.0], 1.0)
     found = [np.frombuffer(r["f"], "<u4").astype(np.int64) for r in rows]
     held = np.zeros(len(rows), bool)
-    for label in (0, 1):
-        held[np.flatnonzero(y == label)[3::4]] = True
+    for g in np.unique(grades):
+        held[np.flatnonzero(grades == g)[3::4]] = True
     count = lambda chosen: np.bincount(np.concatenate([np.zeros(0, np.int64), *(found[k] for k in np.flatnonzero(chosen))]), minlength=DIMENSIONS).astype(float)
-    bad, good = count(~held & (y == 1)), count(~held & (y == 0))
-    n1, n0, seen = float((~held & (y == 1)).sum()), float((~held & (y == 0)).sum()), bad + good
+    bad, good = count(~held & y), count(~held & ~y)
+    n1, n0, seen = float((~held & y).sum()), float((~held & ~y).sum()), bad + good
     n = n1 + n0
     # likelihood-ratio statistic of presence against the label; chance alone passes 2 ln(tests) about once
     ratio = lambda x, of: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(of, 1e-9)), 0.0)
     lean = 2 * (ratio(bad, seen * n1 / n) + ratio(good, seen * n0 / n) + ratio(n1 - bad, (n - seen) * n1 / n) + ratio(n0 - good, (n - seen) * n0 / n))
     usual, up = seen >= MIN_DOCS, bad * n0 > good * n1
-    kept = np.flatnonzero(usual & (lean > 2 * np.log(max(2, usual.sum()))))
-    if up[kept].sum() < FEW:  # a small sample proves little: take its strongest hints
-        hints = np.flatnonzero(usual & up)
-        kept = np.union1d(kept, hints[np.argsort(-lean[hints], kind="stable")[:FEW]])
+    hints = np.flatnonzero(usual & up)
+    kept = np.union1d(np.flatnonzero(usual & (lean > 2 * np.log(max(2, usual.sum())))), hints[np.argsort(-lean[hints], kind="stable")[:FEW]])
     place = np.full(DIMENSIONS, -1)
     place[kept] = np.arange(len(kept))
     index = [p[p >= 0] for p in (place[f] for f in found)]
-    hits = np.array([up[kept[p]].sum() for p in index])
-    grades = np.where(y == 0, 0, np.where(hits > np.median(hits[(y == 1) & ~held]), 2, 1))
     part = np.flatnonzero(~held)
-    w, cuts = fit_ordinal([index[k] for k in part], grades[part], len(kept), 2)
+    w, cuts = fit_ordinal([index[k] for k in part], grades[part], len(kept), int(grades.max()))
     model = Model({int(f): float(x) for f, x in zip(kept, w, strict=True)}, [float(c) for c in cuts], 1.0)
-    told = np.array([model.severity(kept[p].tolist()) for p in index])
-    clean, toxic = np.sort(told[held & (y == 0)]), told[held & (y == 1)]
+    told = model.severity([kept[p].tolist() for p in index])
+    clean, toxic = np.sort(told[held & ~y]), told[held & y]
     if len(clean) == 0 or len(toxic) == 0:
-        clean, toxic = np.sort(told[y == 0]), told[y == 1]
+        clean, toxic = np.sort(told[~y]), told[y]
     low = clean[len(clean) - 1 - int(max_false * len(clean))]
     over = toxic[toxic > low]
-    model.cutoff = float(low + (np.min(over) - low) / 2) if len(over) else 2.1
+    model.cutoff = float(low + (np.min(over) - low) / 2) if len(over) else len(cuts) + 0.1
     return model
 
 
+def added_columns(taken: list[str]) -> list[str]:
+    """What ``score`` calls the expected severity, the severity and the verdict."""
+    return [fresh(x, taken) for x in ("expected_severity", "severity", "toxic")]
+
+
 def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """docs with expected_severity, severity (the likeliest side of each threshold, 0 to 2) and toxic (rejected)."""
+    """docs with expected_severity, severity (how many thresholds it is likely over) and toxic (rejected)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     names = docs.columns
-    added = [fresh(x, names) for x in ("expected_severity", "severity", "toxic")]
+    added = added_columns(names)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema] + [T.StructField(n, t) for n, t in zip(added, (T.DoubleType(), T.IntegerType(), T.BooleanType()), strict=True)])
-    arrow, at, weights, cuts, cutoff = to_arrow_schema(schema), names.index(text_column), model.weights, model.cuts, model.cutoff
+    arrow, at, weights = to_arrow_schema(schema), names.index(text_column), model.weights
 
     def task(batches):
         release()
@@ -169,17 +187,16 @@ def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame
             found = known[w] = tuple(f for f in of_word(w) if f in weights)
             return found
 
-        for batch in batches:
-            means = []
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+            total = []
             for text in batch.column(at).to_pylist():
                 once: set[int] = set()
                 for w in set(WORD.findall((text or "").encode().lower())):
                     own = known.get(w)
                     once.update(weighty(w) if own is None else own)
-                z = sum(weights[f] for f in sorted(once))
-                means.append([1 / (1 + np.exp(np.clip(c - z, -500, 500))) for c in cuts])
-            p = np.array(means, float).reshape(len(means), len(cuts))
+                total.append(sum(weights[f] for f in sorted(once)))
+            p = model.above(np.array(total, float))
             mean = p.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mean), pa.array((p > 0.5).sum(axis=1).astype(np.int32)), pa.array(mean >= cutoff)], arrow.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mean), pa.array((p > 0.5).sum(axis=1).astype(np.int32)), pa.array(mean >= model.cutoff)], arrow.names)
 
     return docs.mapInArrow(task, schema)

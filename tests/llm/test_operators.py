@@ -1,6 +1,5 @@
 """The training-data operators against brute force, on small and odd inputs."""
 
-import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -11,8 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridfield.llm import containers, licenses, media, mixing, packing, quality, sharding, simhash, substrings, toxicity
-from gridfield.llm.queries import tokenizer_path
+from gridfield.llm import licenses, quality, sharding, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -49,23 +47,6 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_remove_repeats(spark, docs):
-    df, rows = docs
-    got = {r["doc_id"]: (r["text"], r["n_words"], r["n_removed"]) for r in substrings.remove_repeats(df.withColumn("kind", F.lit(1)), 20).collect()}
-    seen = set()
-    for i, text, *_ in sorted(rows):
-        w = (text or "").encode().split()
-        keep = [True] * len(w)
-        for s in range(len(w) - 19):
-            g = tuple(w[s : s + 20])
-            if g in seen:
-                keep[s : s + 20] = [False] * 20
-            seen.add(g)
-        kept = b" ".join(x for x, k in zip(w, keep, strict=True) if k).decode()
-        assert got[i] == (kept, len(w), len(w) - sum(keep))
-    assert substrings.remove_repeats(empty(spark)).count() == 0
-
-
 def test_simhash(spark, docs):
     df, rows = docs
     got = {r["doc_id"]: r for r in simhash.groups(df, simhash.spare_families(2)).collect()}
@@ -189,58 +170,6 @@ def test_rows_without_ids_are_rows_of_their_own(spark):
     assert sorted(map(tuple, kept)) == sorted([(5, a), (7, b + " x"), (7, c + " y z")])
 
 
-def test_token_files(spark, docs):
-    df, rows = docs
-    files = containers.write(df, tokenizer_path(), 1, container_bytes=4000)
-    got = {r["doc_id"]: r for r in files.digests().collect()}
-    from tokenizers import Tokenizer
-
-    t, at = Tokenizer.from_file(tokenizer_path()), 0
-    for i, text, *_ in sorted(rows):
-        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
-        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
-        at += len(ids)
-    blob = files.table.first()["blob"]
-    with pytest.raises(ValueError):
-        containers.open_container(blob, b"another dictionary")
-    assert containers.write(empty(spark), tokenizer_path(), 1).digests().count() == 0
-
-
-def test_packing(spark, docs):
-    df, rows = docs
-    from tokenizers import Tokenizer
-
-    t, out = Tokenizer.from_file(tokenizer_path()), packing.pack(df, tokenizer_path(), 2).collect()
-    ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4") for i, x, *_ in rows}
-    by_doc, by_sequence = defaultdict(list), defaultdict(list)
-    for r in out:
-        assert zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
-        by_doc[r["doc_id"]].append((r["start"], r["length"]))
-        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
-    for parts, total in [(by_doc[i], len(x)) for i, x in ids.items()] + [(s, None) for s in by_sequence.values()]:
-        at = 0
-        for start, length in sorted(parts):
-            assert start == at
-            at += length
-        assert at == total if total is not None else at <= 4096
-    assert packing.pack(empty(spark), tokenizer_path(), 2).count() == 0
-    assert all(sum(packing.cuts(n, 4096, 64)) == n for n in range(9000))
-
-
-def test_mixing(spark, docs):
-    df, rows = docs
-    out = mixing.mix(df).collect()
-    source = {r[0]: r[3] for r in rows}
-    assert all(r["size"] == len((rows[r["doc_id"]][1] or "").encode().split()) and r["taken"] <= 2 * r["size"] for r in out)
-    assert sum({source[r["doc_id"]]: r["target"] for r in out}.values()) == pytest.approx(1.5 * sum(r["size"] for r in out))
-    for s in set(source.values()):
-        own = [r for r in out if source[r["doc_id"]] == s]
-        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
-    assert sorted(map(tuple, mixing.mix(df).collect()), key=str) == sorted(map(tuple, out), key=str)
-    assert mixing.targets([10, 100, 100], [5, 2, 1], 315, 2) == [20, pytest.approx(590 / 3), pytest.approx(295 / 3)]
-    assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed(empty(spark)).count() == 0
-
-
 def test_sharding(spark, docs):
     df, rows = docs
     out = sharding.shuffle(df, 7).collect()
@@ -255,38 +184,6 @@ def test_sharding(spark, docs):
     assert m.sum(axis=1).tolist() == [5, 0, 9, 30] and np.ptp(m.sum(axis=0)) <= 1
 
 
-def test_media_round_trip(spark, docs):
-    df, rows = docs
-    for r in media.media_features(media.to_media(df)).collect():
-        raw = media.payload((rows[r["doc_id"]][1] or "").encode())
-        assert r["payload_sha256"] == hashlib.sha256(raw).hexdigest() and r["tail_crc32"] == zlib.crc32(raw[-32:])
-    noise = [random.Random(k).randbytes(576 * k) for k in (1, 3, 340, 9000)]
-    for raw, stream in zip(noise, media.store(noise), strict=True):
-        assert b"".join(g.tobytes() for g in media.thumbnails(media.parse(stream))) == raw
-    with pytest.raises(ValueError):
-        media.parse(b"no image")
-    assert media.media_features(media.to_media(empty(spark))).count() == 0
-
-
-def test_toxicity(spark):
-    rng, rows, labels = random.Random(1), [], []
-    for i in range(400):
-        w = ["".join(rng.choice("lmnopq") for _ in range(4)) for _ in range(60)]
-        bad = i % 5 == 0
-        if bad:
-            w[3:6] = rng.sample(["vile", "awful", "nasty", "rotten"], 3)
-        rows.append((i, " ".join(w), None, None, None))
-        if i < 300:
-            labels.append((i, 1, int(bad)))
-    rows.append((400, None, None, None, None))
-    docs, told = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    out = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.train(docs, told)).collect()}
-    held_out = [out[i]["toxic"] == (i % 5 == 0) for i in range(300, 400)]
-    assert sum(held_out) >= 97 and not any(out[i]["toxic"] for i in range(401) if i % 5 or i == 400)
-    none = toxicity.train(docs, told.limit(0))
-    assert toxicity.score(docs, none).where("toxic").count() == 0
-
-
 def test_licenses(spark, docs):
     df, rows = docs
     extra = spark.createDataFrame([(500, "CC BY cc-by Apache License gnu general public license", None, None, 0), (501, "permission is hereby granted free of charge to any lucky person obtaining a copy of this software and associated documentation files", None, None, 0)], SCHEMA)
