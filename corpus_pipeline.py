@@ -20,8 +20,9 @@ SHINGLE, SIMILAR, WORDS = 5, 0.8, 4
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model rejects go."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("not toxic").select(*docs.columns)
+    model = toxicity.train(docs, toxicity.graded(table(spark, sf_dir, "labels")))
+    *_, rejected = toxicity.added_columns(docs.columns)
+    return toxicity.score(docs, model).where(~F.col(rejected)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +32,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the words of 20-word windows that stand earlier; texts that lose none stay as they are, to the blank."""
-    cut = substrings.remove_repeats(docs.withColumn("whole", F.col("text")), width=20)
-    text = F.when(F.col("n_removed") == 0, F.col("whole")).otherwise(F.col("text"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).select(*docs.columns)
+    cut = substrings.remove_repeats(docs, width=20, keep_whole=True)
+    return cut.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
