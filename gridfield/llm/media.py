@@ -5,14 +5,18 @@ coefficients alone, one pixel a block.
 segments of all images of a batch that share tables are decoded in step by numpy, a symbol of each at a time.
 
 ``store`` keeps bytes losslessly in a baseline JPEG: a byte is the DC level of one 8 x 8 block (quantizer 8, so a block
-is flat in that grey), AC is empty, and each row of blocks is a restart segment.  The DC thumbnail is the payload.  The
-image is 24 blocks wide while its height fits, else 576; payloads over 576 * 8000 bytes become several streams in a row.
+is flat in that grey), AC is empty, and each row of 24 blocks is a restart segment.  The DC thumbnail is the payload.  An
+image has 8000 rows at most; payloads of more become several streams in a row.
 
 Feature: dimensions in pixels and a thumbnail hash: 64 bits, of an 8 x 8 grid of mean thumbnail grey levels, set where
 above the mean of the grid.
 
-Cases.  Null text: empty.  Empty text: 576 bytes of 255.  Damaged streams raise ValueError.  Empty table: empty result.  Equal texts give equal
-values.  Other columns aren't carried.
+Memory.  A task holds one row's text or media and the arrays of ``AT_ONCE`` payload bytes, some 60 times that.
+
+Cases.  Null text: empty.  Empty text: 576 bytes of 255.  Null doc_id stays null; rows that repeat one are rows of their own.
+Very long texts: several streams, in turn.  Damaged streams, and those of another kind than above, raise ValueError.  Empty
+table: empty result.  Equal texts give equal values.  Other columns, whatever their names, aren't carried.  Ties with the
+mean of a grid: not set.
 """
 
 from __future__ import annotations
@@ -26,16 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfield.llm import runtime
+from gridfield.llm.runtime import release
 
 runtime.ship(sys.modules[__name__])
 
-UNIT, NARROW, WIDE, MOST_ROWS = 576, 24, 576, 8000
+UNIT, WIDE, MOST_ROWS = 576, 24, 8000
 #: Code lengths 1 to 16 and symbols of the luminance DC table in ITU T.81, table K.3 (fixed values).
 DC_COUNTS, DC_SYMBOLS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), tuple(range(12))
 #: One AC symbol: end of block.
 AC_COUNTS, AC_SYMBOLS = (1, *(0,) * 15), (0,)
 #: Payload bytes that are packed or decoded at a time.
-AT_ONCE = 4_000_000
+AT_ONCE = 400_000
 
 
 def canonical(counts, symbols) -> list[tuple[int, int, int]]:
@@ -104,53 +109,52 @@ def encode_rows(levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def store(payloads: list[bytes]) -> list[bytes]:
     """Baseline JPEG streams that hold the payloads (multiples of 576 bytes)."""
-    out: list[bytes] = []
-    plan = []
-    for p in payloads:
-        wide = NARROW if len(p) <= NARROW * MOST_ROWS else WIDE
-        for at in range(0, len(p), wide * MOST_ROWS):
-            plan.append((len(out), wide, p[at : at + wide * MOST_ROWS]))
-        out.append(b"")
-    for wide in (NARROW, WIDE):
-        own, held, size = [x for x in plan if x[1] == wide], [], 0
-        for k, x in enumerate(own):
-            held.append(x)
-            size += len(x[2])
-            if size < AT_ONCE and k + 1 < len(own):
-                continue
-            levels = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(-1, wide)
-            data, sizes = encode_rows(levels)
-            ends = np.cumsum(sizes)
-            rows_of = [len(h[2]) // wide for h in held]
-            # two bytes after each row: a restart marker, or the end of the image
-            spread = np.zeros(len(data) + 2 * len(sizes), np.uint8)
-            spread[np.arange(len(data)) + 2 * np.repeat(np.arange(len(sizes)), sizes)] = data
-            in_image = np.concatenate([np.arange(r) for r in rows_of])
-            last = np.concatenate([np.arange(r) == r - 1 for r in rows_of])
-            tail = ends + 2 * np.arange(len(sizes))
-            spread[tail], spread[tail + 1] = 0xFF, np.where(last, 0xD9, 0xD0 + in_image % 8)
-            edge, raw, first = np.r_[0, tail[last] + 2], spread.tobytes(), 0
-            for h, r, a, b in zip(held, rows_of, edge[:-1], edge[1:], strict=True):
-                out[h[0]] += header(wide, r) + raw[a:b]
-                first += r
-            held, size = [], 0
+    out, plan = [b""] * len(payloads), []
+    for k, p in enumerate(payloads):
+        plan += [(k, p[at : at + WIDE * MOST_ROWS]) for at in range(0, len(p), WIDE * MOST_ROWS)]
+    for held in _slices(plan, lambda x: len(x[1])):
+        levels = np.frombuffer(b"".join(x for _, x in held), np.uint8).reshape(-1, WIDE)
+        data, sizes = encode_rows(levels)
+        rows_of = [len(x) // WIDE for _, x in held]
+        # two bytes after each row: a restart marker, or the end of the image
+        spread = np.zeros(len(data) + 2 * len(sizes), np.uint8)
+        spread[np.arange(len(data)) + 2 * np.repeat(np.arange(len(sizes)), sizes)] = data
+        in_image = np.concatenate([np.arange(r) for r in rows_of])
+        last = np.concatenate([np.arange(r) == r - 1 for r in rows_of])
+        tail = np.cumsum(sizes) + 2 * np.arange(len(sizes))
+        spread[tail], spread[tail + 1] = 0xFF, np.where(last, 0xD9, 0xD0 + in_image % 8)
+        edge, raw = np.r_[0, tail[last] + 2], spread.tobytes()
+        for (k, _), r, a, b in zip(held, rows_of, edge[:-1], edge[1:], strict=True):
+            out[k] += header(WIDE, r) + raw[a:b]
     return out
 
 
 def parse(stream: bytes) -> list[dict]:
     """The images of concatenated streams: dimensions, components, tables, and the scan's bytes."""
+    try:
+        return _parse(stream)
+    except (IndexError, KeyError, struct.error) as e:
+        raise ValueError(f"a damaged stream: {e!r}") from e
+
+
+def _parse(stream: bytes) -> list[dict]:
     images, at, n = [], 0, len(stream)
     now: dict = {}
     while at < n:
         if stream[at] != 0xFF or at + 1 >= n:
             raise ValueError("no marker where one should be")
         marker = stream[at + 1]
+        if marker == 0xFF:  # a fill byte
+            at += 1
+            continue
         if marker == 0xD8:
             now, at = {"quant": {}, "tables": {}, "restart": 0}, at + 2
             continue
         if marker == 0xD9:
+            if not {"width", "scan"} <= now.keys():
+                raise ValueError("an image without its frame or scan")
             images.append(now)
-            at += 2
+            now, at = {}, at + 2
             continue
         size = struct.unpack_from(">H", stream, at + 2)[0]
         body, at = stream[at + 4 : at + 2 + size], at + 2 + size
@@ -174,6 +178,8 @@ def parse(stream: bytes) -> list[dict]:
         elif marker == 0xDD:
             now["restart"] = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
+            if "scan" in now or body[0] != len(now["parts"]):
+                raise ValueError("more than one scan")
             now["uses"] = {body[1 + 2 * k]: (body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15) for k in range(body[0])}
             end = at
             while True:
@@ -185,6 +191,8 @@ def parse(stream: bytes) -> list[dict]:
                     continue
                 break
             now["scan"], at = stream[at:end], end
+    if now:
+        raise ValueError("an image without an end")
     return images
 
 
@@ -201,13 +209,7 @@ def thumbnails(images: list[dict]) -> list[np.ndarray]:
         parts = tuple((h, v, m["tables"][m["uses"][i][0]], m["tables"][16 + m["uses"][i][1]]) for i, h, v, _ in m["parts"])
         groups.setdefault(parts, []).append(k)
     for parts, members in groups.items():
-        at = 0
-        while at < len(members):
-            held, size = [], 0
-            while at < len(members) and (size < AT_ONCE or not held):
-                held.append(members[at])
-                size += len(images[members[at]]["scan"])
-                at += 1
+        for held in _slices(members, lambda k: len(images[k]["scan"])):
             for k, t in zip(held, _decode(parts, [images[k] for k in held]), strict=True):
                 out[k] = t
     return out
@@ -242,9 +244,8 @@ def _decode(parts, images: list[dict]) -> list[np.ndarray]:
     for k in range(8):
         window |= padded[k : k + len(data) + 1] << np.uint64(56 - 8 * k)
     tables = [(lookup(*p[2]), lookup(*p[3])) for p in parts]
-    lumas = [np.zeros(x * y * (blocks[0][1]), np.int64) for x, y in mcus]
-    flat_at = np.cumsum([0] + [len(x) for x in lumas])
-    flat = np.zeros(flat_at[-1], np.int64)
+    flat_at = np.cumsum([0] + [x * y * blocks[0][1] for x, y in mcus])
+    flat = np.zeros(flat_at[-1], np.int32)
     where = flat_at[image_of] + nth * each * blocks[0][1]
     pos = first.astype(np.int64) * 8
     dc = np.zeros((len(parts), len(pos)), np.int64)
@@ -301,7 +302,8 @@ def payload(text: bytes) -> bytes:
     return text + b"\xff" * (UNIT - len(text) % UNIT if len(text) % UNIT or not text else 0)
 
 
-def _slices(rows: list, size=len, most: int = AT_ONCE):
+def _slices(rows, size, most: int = AT_ONCE):
+    """Lists of rows of so much together, the last one's more."""
     held, n = [], 0
     for r in rows:
         held.append(r)
@@ -313,10 +315,15 @@ def _slices(rows: list, size=len, most: int = AT_ONCE):
         yield held
 
 
+def _rows(batch: pa.RecordBatch):
+    """One by one."""
+    return (tuple(c[k].as_py() for c in batch.columns) for k in range(batch.num_rows))
+
+
 def _store(batches):
+    release()
     for batch in batches:
-        rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        for part in _slices(rows, lambda r: len(r[1])):
+        for part in _slices(_rows(batch), lambda r: len(r[1])):
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([len(r[1]) for r in part], pa.int64()), pa.array(store([payload(r[1]) for r in part]), pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
@@ -325,9 +332,9 @@ def _features(batches):
     import zlib
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    release()
     for batch in batches:
-        rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        for part in _slices(rows, lambda r: len(r[2])):
+        for part in _slices(_rows(batch), lambda r: len(r[2])):
             images = [parse(m) for _, _, m in part]
             grey = iter(thumbnails([m for ms in images for m in ms]))
             out = []
@@ -341,7 +348,7 @@ def _features(batches):
 
 def to_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes of the text, media (JPEG streams)."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("text"))
+    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).cast("binary").alias("text"))
     return rows.mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
