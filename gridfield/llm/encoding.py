@@ -1,12 +1,16 @@
 """Texts to ids with a tokenizer file of the ``tokenizers`` library, remembering the ids of words.
 
-The pre-tokenizer of a file for which this is used must end a token at every blank, so that a text's ids are those of
-its blank-separated words in turn; ``word_bpe_49k.json`` does (tests hold it against whole texts).  Words repeat far more
-often than texts, and a word's ids are looked up in a table of bounded size before the library is asked.
+Where a file's pipeline is the one below (``word_bpe_49k.json``), no token crosses a blank, so that a text's ids are those of
+its blank-separated words in turn.  Words repeat far more often than texts, and a word's ids are looked up in a table of
+bounded size.  What the table lacks is cut into pieces, which are looked up there too: ASCII words by the file's own
+pattern, and words of letters below U+0250, less the one whose lower case is two characters, into the letters and the marks
+after them; neither case nor composing can change a thing there.  A piece of such letters goes to the file's model, any other
+piece or word to the whole library.  With any other pipeline whole texts go to the library.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 from array import array
@@ -15,11 +19,25 @@ from gridfield.llm import runtime
 
 runtime.ship(sys.modules[__name__])
 
-#: Words remembered by a worker: two generations of so many.
-REMEMBERED = 250_000
+#: Words and pieces remembered by a worker: two generations of so many.
+REMEMBERED = 400_000
 
-#: How the file's pre-tokenizer cuts lower-case ASCII (fixed values of that file).
+#: How the file's pre-tokenizer cuts text, and the same for lower-case ASCII (fixed values of that file).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: Letters below this have no marks to compose, and their lower case is one letter but for this one.
+PLAIN_BELOW, DOTTED = "ɐ", "İ"
+
+
+def cuts_at_blanks(said: dict) -> bool:
+    """Whether a file's pipeline is the one that words can be taken from."""
+    normalizer, pre = said.get("normalizer") or {}, said.get("pre_tokenizer") or {}
+    steps = [(x["type"], x.get("pattern"), x.get("behavior"), x.get("invert"), x.get("add_prefix_space"), x.get("use_regex")) for x in pre.get("pretokenizers", [])]
+    want = [("Split", {"Regex": PATTERN}, "Removed", True, None, None), ("ByteLevel", None, None, None, False, False)]
+    marked = said["model"].get("end_of_word_suffix") and not said["model"].get("dropout") and not said["model"].get("ignore_merges")
+    plain = all("<|" in x["content"] and not any(x[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) for x in said.get("added_tokens", []))
+    return bool(marked) and plain and normalizer.get("normalizers") == NORMALIZERS and steps == want and not said.get("post_processor")
 
 
 def byte_letters() -> dict[int, str]:
@@ -48,38 +66,45 @@ class Memory(dict):
 
 
 class WordEncoder:
-    """bytes of a whole text -> its ids as little-endian unsigned 32-bit integers."""
+    """A whole text in UTF-8 -> its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, limit: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.pieces = Memory(self._piece, limit)
+        with open(path, encoding="utf-8") as f:
+            self.by_word = cuts_at_blanks(json.load(f))
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, byte_letters()
         self.words = Memory(self._word, limit)
 
     def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _piece(self, piece: bytes) -> bytes:
-        text = piece.decode()
-        if text.isalpha() and max(text) < "ɐ":  # one piece, and no normalizing is left to do: the model alone gives the ids
-            return array("I", [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.letters))]).tobytes()
-        return self._library(text)
+    def _letters(self, letters: str) -> bytes:
+        """Of one piece, in the vocabulary's letters."""
+        return array("I", [t.id for t in self.tokenize(letters)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():
+            return self._letters(word.decode()) if word.islower() else self.words[word.lower()]
         if b"<|" in word:  # might hold a special token
             return self._library(word.decode())
         if word.isascii():
-            return b"".join(map(self.pieces.__getitem__, ASCII_PIECES.findall(word.lower())))
+            pieces = ASCII_PIECES.findall(word.lower())
+            return b"".join(map(self.words.__getitem__, pieces)) if len(pieces) > 1 else self._library(word.decode())
         text = word.decode()
         core = text.rstrip(".,;:!?")
-        if max(core) < "ɐ" and core[-1].isalpha():  # no composing or unusual casing below that
+        if not core or max(core) >= PLAIN_BELOW or DOTTED in core or not core.isalpha():
+            return self._library(text)
+        low = core.lower()
+        if low != text:
             tail = word[len(core.encode()) :]
-            return self.pieces[core.lower().encode()] + (self.pieces[tail] if tail else b"")
-        return self._library(text)
+            return self.words[low.encode()] + (self.words[tail] if tail else b"")
+        return self._letters(word.decode("latin-1").translate(self.letters))
 
     def encode(self, text: bytes) -> bytes:
+        if not self.by_word:
+            return self._library(text.decode())
         return b"".join(map(self.words.__getitem__, text.split()))
 
 

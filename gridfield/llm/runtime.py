@@ -116,9 +116,9 @@ def release() -> None:
     import pyarrow as pa
 
     home = sys.modules.get("gridfield_worker_state")
-    if home is not None:
+    if home is not None and home.__dict__:
         home.__dict__.clear()
-    gc.collect()
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
