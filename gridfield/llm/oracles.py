@@ -45,11 +45,11 @@ FROM d LEFT JOIN found USING (row) GROUP BY row
 
 def _quality_sql() -> str:
     rules = list(quality.GRIDS)
-    grid = ", ".join(f"('{r}', {k}, {c}::DOUBLE)" for r, g in quality.GRIDS.items() for k, c in enumerate(g))
     share = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0.0::DOUBLE END"
     metric = dict(zip(rules, (share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words"), share("n_capitals", "word_chars"), share("n_marks", "n_words") + " / 5"), strict=True))
     left = lambda pattern: f"length(regexp_replace(text, '{pattern}', '', 'g'))"
-    p, each = quality.RISK / len(rules), quality.LEVEL / len(rules)
+    over = ", ".join(f"len(list_filter({list(quality.GRIDS[r])}::DOUBLE[], lambda c: {x} > c))" for r, x in metric.items())
+    p = quality.RISK
     return f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, lang AS stratum, coalesce(text, '') AS text FROM documents),
 s AS (SELECT *, {_words("text", _WORDS)} AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
@@ -58,17 +58,15 @@ twice AS (SELECT row, i FROM grams QUALIFY count(*) OVER (PARTITION BY row, gram
 covered AS (SELECT row, count(DISTINCT i + k) AS n_repeat_words FROM twice, unnest([0, 1, 2]) AS u(k) GROUP BY row),
 c AS (SELECT row, doc_id, stratum, len(w)::BIGINT AS n_words, {left(_WORDS)} AS word_chars, {left("[^#*$%&|<>]+")} AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
   coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines, {left("[^A-Z]+")} AS n_capitals, {left("[^!]+")} AS n_marks FROM s LEFT JOIN covered USING (row)),
-m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(f"{x} AS {r}" for r, x in metric.items())} FROM c),
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {quality.STEPS} - greatest({over}) AS rejected_from FROM c),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-held AS (SELECT coalesce('=' || stratum, '') AS key, {", ".join(rules)} FROM m JOIN good USING (doc_id) WHERE NOT base_failed),
-tall AS (UNPIVOT held ON {", ".join(rules)} INTO NAME rule VALUE x),
-grid AS (SELECT * FROM (VALUES {grid}) AS v(rule, step, cutoff)),
-tested AS (SELECT key, rule, step, cutoff, count(*) AS n, count(*) FILTER (x > cutoff) AS k FROM tall JOIN grid USING (rule) GROUP BY ALL),
-tail AS (SELECT key, rule, step, cutoff, CASE WHEN any_value(k) > any_value(n) * {p} THEN 1 ELSE sum(exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - CASE WHEN j = n THEN 0 ELSE lgamma(n - j + 1) END + j * ln({p}) + (n - j) * ln(1 - {p}))) END AS chance
+held AS (SELECT coalesce('=' || stratum, '') AS key, rejected_from FROM m JOIN good USING (doc_id) WHERE NOT base_failed),
+tested AS (SELECT key, step, count(*) AS n, count(*) FILTER (rejected_from <= step) AS k FROM held, unnest(range(0, {quality.STEPS})) AS u(step) GROUP BY ALL),
+tail AS (SELECT key, step, CASE WHEN any_value(k) > any_value(n) * {p} THEN 1 ELSE sum(exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - CASE WHEN j = n THEN 0 ELSE lgamma(n - j + 1) END + j * ln({p}) + (n - j) * ln(1 - {p}))) END AS chance
   FROM tested, unnest(range(0, CASE WHEN k > n * {p} THEN 1 ELSE k + 1 END)) AS u(j) GROUP BY ALL),
-judged AS (SELECT *, sum(CASE WHEN chance <= {each} / (SELECT count(DISTINCT key) FROM held) THEN 0 ELSE 1 END) OVER (PARTITION BY key, rule ORDER BY step) AS failed FROM tail),
-best AS (SELECT key, {", ".join(f"min(cutoff) FILTER (rule = '{r}') AS cut_{r}" for r in rules)} FROM judged WHERE failed = 0 GROUP BY key)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(f"coalesce({r} <= cut_{r}, true)" for r in rules)} AS kept
+judged AS (SELECT *, sum(CASE WHEN chance <= {quality.LEVEL} / (SELECT count(DISTINCT key) FROM held) THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY step) AS failed FROM tail),
+best AS (SELECT key, max(step) AS step FROM judged WHERE failed = 0 GROUP BY key)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(rejected_from > step, true) AS kept
 FROM m LEFT JOIN best ON coalesce('=' || stratum, '') = best.key
 """
 
