@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridfield.llm.runtime import Scratch, free_shuffles
 
 
-def stars(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+def stars(links: DataFrame, scratch: Scratch) -> DataFrame:
     """links (a, b) of ids -> (node, root): every node that isn't the smallest of its component, and that smallest.
 
     Null or equal ends are no links.  No links: empty.  Minima are taken map-side first, so a node with many links is
@@ -16,7 +16,7 @@ def stars(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """
     spark = links.sparkSession
     now = scratch.save(links.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct(), "links")
-    for _ in range(rounds):
+    while True:
         child = now.select(F.col("node").alias("other"))
         n, nodes = now.agg(F.count("*"), F.count_distinct("node")).first()
         if n == nodes and now.join(child, now["root"] == child["other"], "left_semi").isEmpty():
@@ -30,4 +30,3 @@ def stars(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
         scratch.drop(now)
         now = after
         free_shuffles(spark)
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

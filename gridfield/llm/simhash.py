@@ -7,26 +7,34 @@ in any coordinate is discarded, and the rest is verified on the fingerprints.
 Which pairs meet at all.  Pivots come in families.  A family's pivots are the first pivot with some of the family's
 bits flipped, so the family's coordinates less the first coordinate depend on those bits alone.  Two fingerprints that
 agree on a family's bits have equal differences there.  With ``spare_families(r)`` (r = 2: five families, any three of
-which make a key) two fingerprints within r bits of each other agree on a whole key: no pair is lost.  For wide
-radiuses, ``sampled_families`` draws families of random bits, each a key; then pairs are found with a high probability.
+which make a key) two fingerprints within r bits of each other agree on a whole key: no pair is lost.
 
 Plan.  Fingerprints once, over whole texts; rows with equal fingerprints become one numbered node, so exact copies never
 meet as pairs.  Nodes are dealt by key, and a bucket's links go into a union-find of the task, which sends on a spanning
-forest: a bucket of n nodes makes n - 1 links at most.  Buckets over ``BUCKET_PAIRS`` nodes, with one word and a radius of
-two, are linked by sorting on every choice of two erased bits instead, linear in n and as exact.
+forest: a bucket of n nodes makes n - 1 links at most.  Inside a bucket, pairs are discarded and verified by table and
+fingerprint; a bucket of over ``BUCKET_PAIRS`` nodes is cut again by tables of finer families (16, then one a bit), which
+lose no pair either.  What agrees on all one-bit families but r lies within r bits, and is linked in a chain.
 
 With ``similar``, links are the pairs of texts whose sets of shingles have that Jaccard similarity, all of them.  A node is
 then a set of shingles, and its fingerprint is taken from distinct shingles.  Keys are the shingles of a set's prefix: with
 n shingles in one order that holds for the whole table, the first n - ceil(similar * n) + 1; two sets that are similar
 enough share a shingle of both prefixes, and the places of the first one they share bound how many they may share.  The
-order is by counts in a sample, rare ones first: it decides how long buckets are, and not what is found.  Every pair that
-these bounds leave is checked on the sets, none is discarded by its fingerprints.  They only say which are checked first:
-those of a spanning forest from the closest pairs on.  Then the pairs that the confirmed links don't join already are
-checked too, so no unconfirmed pair hides another.  The order of pairs and the number of tasks don't change the groups.
+order is by counts in a sample, rare ones first: it decides how long groups are, and not what is found.
+
+Groups (nodes that share a prefix shingle) of up to ``GROUP`` nodes send every pair that these bounds leave.  Larger ones are cut into
+runs of as many, and send one pair between runs and, inside a run, a spanning forest of the pairs that the pivot table leaves
+and the fingerprints verify, closest first; and their entries are kept.  So a group of n nodes sends some n pairs.  Pairs
+on a forest are checked on the sets first and make components; then the others are, where their ends lie in different
+components, and so are pairs of kept entries from different components of a group, which a join finds.  Near
+copies of one text are one component by then, and cost nothing more.  What isn't alike but shares a rare shingle must be
+compared in any exact way.  No pair counts unless its sets were checked, so no unconfirmed pair hides another, and the order
+of pairs and the number of tasks don't change the groups.  A shingle that the sample says over ``HOT`` nodes share is dealt to
+several tasks.
 
 Cases.  Null or blank text: fingerprint zero, linked like any other.  Fewer words than a shingle: the whole sequence is
 one shingle.  Null doc_id or repeated ones: each row goes by its own text; component_id is the smallest doc_id of the
-group, null if none has one.  Ties in bit counts: bit not set.  Empty table: empty result.
+group, null if none has one.  Ties in bit counts: bit not set.  Very long texts: whole.  Extra columns, whatever their names:
+``groups`` leaves them out, ``keep_one`` passes them through.  Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -46,16 +54,20 @@ from gridfield.llm.runtime import LAST_ID, Scratch, free_shuffles, fresh, partit
 
 runtime.ship(sys.modules[__name__])
 
-#: Nodes of a bucket that are compared in pairs.
-BUCKET_PAIRS = 3000
+#: Nodes of a bucket that are compared in pairs; families of the tables that cut larger ones.
+BUCKET_PAIRS, FINER = 3000, (16, 64)
 #: Shingles whose bits are counted at a time, and rows that are linked at a time.
 BITS_AT_ONCE, LINK_ROWS = 100_000, 200_000
 #: Pairs that a task holds before it sends them on.
 HELD_PAIRS = 1_000_000
 #: Entries that a bucket of prefixes is meant to hold; documents and slots of the sample that orders shingles.
 BUCKET_ENTRIES, SAMPLED, SLOTS = 1_000_000, 10_000, 1 << 20
+#: Nodes of a group that are compared in pairs, and of a shingle that one task gets.
+GROUP, HOT = 128, 500_000
 #: Pivots of a family, besides the first pivot.
 PATTERNS = 8
+#: Rows of a batch that are taken at a time.
+ROWS = 1000
 
 
 def mix(x: np.ndarray, turn: int) -> np.ndarray:
@@ -92,7 +104,7 @@ def majority(h: np.ndarray, width: int) -> np.ndarray:
 def _fingerprints(shingle: int, width: int):
     def task(batches):
         release()
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             found = [fingerprint(t.lower().split(), shingle, width).astype("<u8").tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["id", "told", "fp"])
 
@@ -106,9 +118,9 @@ class Pivots:
         rng = np.random.default_rng(seed)
         self.width, self.radius, self.keys = width, radius, keys
         self.first = rng.integers(0, 1 << 64, width, dtype=np.uint64)
-        self.patterns = np.zeros((len(families), PATTERNS, width), np.uint64)
+        self.patterns = np.zeros((len(families), min(PATTERNS, max(map(len, families))), width), np.uint64)
         for f, bits in enumerate(families):
-            for a in range(PATTERNS):
+            for a in range(self.patterns.shape[1]):
                 for b in rng.permutation(bits)[: max(1, len(bits) // 2)]:
                     self.patterns[f, a, b // 64] |= np.uint64(1 << int(b % 64))
 
@@ -118,20 +130,32 @@ class Pivots:
         rest = np.stack([np.bitwise_count(fps ^ (self.first ^ p)).sum(axis=1, dtype=np.int16) for f in families for p in self.patterns[f]], axis=1)
         return base, rest
 
+    def near(self, fps: np.ndarray, table: tuple[np.ndarray, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which of these pairs lie within the radius: any coordinate discards, fingerprints verify."""
+        base, rest = table
+        live = np.flatnonzero(np.abs(base[left] - base[right]) <= self.radius)
+        live = live[np.abs(rest[left[live]] - rest[right[live]]).max(axis=1, initial=0) <= self.radius]
+        return live[np.bitwise_count(fps[left[live]] ^ fps[right[live]]).sum(axis=1, dtype=np.int64) <= self.radius]
+
+    def of_families(self, fps: np.ndarray) -> np.ndarray:
+        """A hash of each family's differences."""
+        out = np.zeros((len(fps), len(self.patterns)), np.uint64)
+        for f in range(len(self.patterns)):
+            base, rest = self.table(fps, range(f, f + 1))
+            for told in (rest - base[:, None] + 512).astype(np.uint64).T:
+                out[:, f] = mix(out[:, f] ^ told, 1)
+        return out
+
+    def key(self, by_family: np.ndarray, k: int) -> np.ndarray:
+        at = np.full(len(by_family), k + 1, np.uint64)
+        for f in self.keys[k]:
+            at = mix(at ^ by_family[:, f], 2)
+        return at
+
     def bucket_keys(self, fps: np.ndarray) -> np.ndarray:
         """One column a key."""
-        base, rest = self.table(fps, range(len(self.patterns)))
-        told = (rest - base[:, None] + 512).astype(np.uint64).reshape(len(fps), len(self.patterns), PATTERNS)
-        by_family = np.zeros((len(fps), len(self.patterns)), np.uint64)
-        for a in range(PATTERNS):
-            by_family = mix(by_family ^ told[:, :, a], 1)
-        out = np.zeros((len(fps), len(self.keys)), np.uint64)
-        for k, families in enumerate(self.keys):
-            at = np.full(len(fps), k + 1, np.uint64)
-            for f in families:
-                at = mix(at ^ by_family[:, f], 2)
-            out[:, k] = at
-        return out
+        by_family = self.of_families(fps)
+        return np.stack([self.key(by_family, k) for k in range(len(self.keys))], axis=1)
 
 
 def spare_families(radius: int, width: int = 1, count: int = 5, seed: int = 7) -> Pivots:
@@ -140,10 +164,10 @@ def spare_families(radius: int, width: int = 1, count: int = 5, seed: int = 7) -
     return Pivots(width, radius, [bits[k::count] for k in range(count)], list(combinations(range(count), count - radius)))
 
 
-def sampled_families(radius: int, width: int, count: int, bits: int, seed: int = 7) -> Pivots:
-    """``count`` keys of so many random bits each: a pair d bits apart is missed with (1 - (1 - d/n)**bits)**count."""
-    rng = np.random.default_rng(seed)
-    return Pivots(width, radius, [rng.permutation(64 * width)[:bits].tolist() for _ in range(count)], [(k,) for k in range(count)])
+def plain_table(radius: int, width: int, seed: int = 7) -> Pivots:
+    """A table for pairs that meet in another way."""
+    bits = np.random.default_rng(seed).permutation(64 * width).tolist()
+    return Pivots(width, radius, [bits[0::2], bits[1::2]], [])
 
 
 def _keys(pivots: Pivots):
@@ -160,32 +184,31 @@ def _keys(pivots: Pivots):
     return task
 
 
-def close_pairs(pivots: Pivots, keys: np.ndarray, fps: np.ndarray):
-    """Index pairs inside runs of equal keys that lie within the radius: pivots discard, fingerprints verify."""
-    base, rest = pivots.table(fps, range(min(5, len(pivots.patterns))))
+def close_pairs(pivots: Pivots, keys: np.ndarray, fps: np.ndarray, finer: tuple[int, ...] = FINER):
+    """Index pairs inside runs of equal keys that join just what all pairs within the radius join."""
+    table = pivots.table(fps, range(min(5, len(pivots.patterns))))
     size = np.diff(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])) if len(keys) else np.zeros(0, int)
-    length = np.repeat(size, size)
-    erase = pivots.width == 1 and pivots.radius <= 2
-    live = np.flatnonzero((length <= BUCKET_PAIRS) & (length > 1) if erase else length > 1)
-    lag = 1
+    edge, length = np.cumsum(size) - size, np.repeat(size, size)
+    live, lag = np.flatnonzero((length > 1) & (length <= BUCKET_PAIRS)), 1
     while len(live := live[live + lag < len(keys)]):
         live = live[keys[live + lag] == keys[live]]
-        near = live[np.abs(base[live] - base[live + lag]) <= pivots.radius]
-        near = near[np.abs(rest[near] - rest[near + lag]).max(axis=1, initial=0) <= pivots.radius]
-        near = near[np.bitwise_count(fps[near] ^ fps[near + lag]).sum(axis=1) <= pivots.radius]
+        near = live[pivots.near(fps, table, live, live + lag)]
         if len(near):
             yield near, near + lag
         lag += 1
-    if erase:
-        edge = np.cumsum(size) - size
-        for a, n in zip(edge[size > BUCKET_PAIRS], size[size > BUCKET_PAIRS], strict=True):
-            own = fps[a : a + n, 0]
-            for i, j in combinations(range(64), 2):
-                bare = own & ~np.uint64(1 << i | 1 << j)
-                order = np.argsort(bare)
-                same = np.flatnonzero(bare[order][1:] == bare[order][:-1])
-                if len(same):
-                    yield a + order[same], a + order[same + 1]
+    for a, n in zip(edge[size > BUCKET_PAIRS], size[size > BUCKET_PAIRS], strict=True):
+        own = fps[a : a + n]
+        if not finer:  # the keys have all bits but as many as the radius
+            near = np.arange(n - 1)[pivots.near(own, pivots.table(own, range(1)), np.arange(n - 1), np.arange(1, n))]
+            yield a + near, a + near + 1
+            continue
+        cut = spare_families(pivots.radius, pivots.width, finer[0])
+        by_family = cut.of_families(own)
+        for k in range(len(cut.keys)):
+            again = cut.key(by_family, k)
+            order = np.argsort(again, kind="stable")
+            for left, right in close_pairs(cut, again[order], own[order], finer[1:]):
+                yield a + order[left], a + order[right]
 
 
 class Forest:
@@ -258,7 +281,7 @@ def gram_set(words: list[bytes], shingle: int) -> np.ndarray:
 
 def _gram_sets(shingle: int):
     def task(batches):
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             found = [gram_set(t.lower().split(), shingle).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "grams"])
 
@@ -336,7 +359,7 @@ def _prefixes(shingle: int, width: int, least: float, packed: bytes):
         import xxhash
 
         ranks = np.frombuffer(zlib.decompress(packed), np.uint8)
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             out = []
             for t in batch.column(2).to_pylist():
                 grams = gram_set(t.lower().split(), shingle).astype("<u8")
@@ -348,11 +371,20 @@ def _prefixes(shingle: int, width: int, least: float, packed: bytes):
     return task
 
 
-def _deal(buckets: int):
+def salts(ranks: np.ndarray, nodes: int) -> np.ndarray:
+    """By slot: to how many tasks a shingle's nodes are dealt, from the sample's counts."""
+    share = (2.0 ** (ranks / 4) - 1) / SAMPLED
+    return np.maximum(1, np.ceil(share * nodes / HOT)).astype(np.int64)
+
+
+def _deal(buckets: int, packed: bytes, nodes_in_all: int):
     """Nodes to a row for each batch and bucket: the prefixes' shingles with their places, and the nodes that have them."""
-    types = (pa.int64(), *[pa.binary()] * 6)
+    types = (pa.int64(), *[pa.binary()] * 7)
 
     def task(batches):
+        import zlib
+
+        many = salts(np.frombuffer(zlib.decompress(packed), np.uint8), nodes_in_all)
         for batch in batches:
             nodes, fps, sizes, prefixes = (batch.column(k) for k in range(4))
             tokens = [np.frombuffer(x, "<u8") for x in prefixes.to_pylist()]
@@ -363,14 +395,16 @@ def _deal(buckets: int):
             place = np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length)
             nodes, sizes = nodes.to_numpy(), sizes.to_numpy()
             fps = np.frombuffer(b"".join(fps.to_pylist()), "<u8").reshape(len(nodes), -1)
-            bucket = (mix(token, 3) >> np.uint64(33)).astype(np.int64) % buckets
+            split = many[_slot(token)]
+            salt = ((mix(nodes[doc].astype(np.uint64), 5) >> np.uint64(33)).astype(np.int64) % split).astype(np.uint64)
+            bucket = (mix(token + salt, 3) >> np.uint64(33)).astype(np.int64) % buckets
             turn = np.argsort(bucket, kind="stable")
             edge = np.flatnonzero(np.r_[True, np.diff(bucket[turn]) != 0, True])
             rows = []
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 own = turn[a:b]
                 docs, who = np.unique(doc[own], return_inverse=True)
-                arrays = (token[own], who.astype("<u4"), place[own].astype("<u4"), nodes[docs].astype("<i8"), sizes[docs].astype("<u4"), fps[docs])
+                arrays = (token[own], who.astype("<u4"), place[own].astype("<u4"), split[own] > 1, nodes[docs].astype("<i8"), sizes[docs].astype("<u4"), fps[docs])
                 rows.append((int(bucket[own[0]]), *(x.tobytes() for x in arrays)))
             for k in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[k : k + 64]], t) for c, t in enumerate(types)], DEALT.replace(" long", "").replace(" binary", "").split(", "))
@@ -378,52 +412,83 @@ def _deal(buckets: int):
     return task
 
 
-DEALT = "bucket long, tokens binary, who binary, places binary, nodes binary, sizes binary, fps binary"
+DEALT = "bucket long, tokens binary, who binary, places binary, parts binary, nodes binary, sizes binary, fps binary"
 
 
-def prefix_pairs(token: np.ndarray, place: np.ndarray, size: np.ndarray, least: float):
-    """Index pairs of entries with equal shingles, sorted by shingle and size, that may be the first which similar sets share."""
-    live, lag = np.arange(len(token)), 1
-    while len(live := live[live + lag < len(token)]):
-        live = live[token[live + lag] == token[live]]
-        live = live[size[live] >= least * size[live + lag] - 1e-9]  # later ones are no smaller
-        rest = np.minimum(size[live] - place[live], size[live + lag] - place[live + lag])
-        near = live[rest * (1 + least) >= least * (size[live] + size[live + lag]) - 1e-6]
+def possible(size, place, other_size, other_place, least: float):
+    """Whether sets of these sizes may be similar, if these are the places of the first shingle that they share."""
+    rest = np.minimum(size - place, other_size - other_place)
+    return (np.minimum(size, other_size) >= least * np.maximum(size, other_size) - 1e-9) & (rest * (1 + least) >= least * (size + other_size) - 1e-6)
+
+
+def run_pairs(run: np.ndarray, place: np.ndarray, size: np.ndarray, least: float):
+    """Index pairs of entries of one run that may be the first which similar sets share."""
+    live, lag = np.arange(len(run)), 1
+    while len(live := live[live + lag < len(run)]):
+        live = live[run[live + lag] == run[live]]
+        near = live[possible(size[live], place[live], size[live + lag], place[live + lag], least)]
         if len(near):
             yield near, near + lag
         lag += 1
 
 
-def _meet(least: float, width: int):
+#: Pairs (a, b), told from kept entries (a shingle, a node, and the set's size and place) by a null ``early``.
+MET = "a long, b long, early boolean, size int, place int"
+
+
+def _meet(least: float, pivots: Pivots):
     """Rows come sorted by bucket.  Pairs that may be similar enough; early: those of a forest from the closest on."""
+    types = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32())
+    names = [x.split()[0] for x in MET.split(", ")]
 
     def task(batches):
         release()
         forest = Forest()
 
+        def rows(*columns):
+            n = len(columns[0])
+            for at in range(0, n, 50_000):
+                cut = slice(at, at + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.nulls(min(n - at, 50_000), t) if x is None else pa.array(x[cut], t) for x, t in zip(columns, types, strict=True)], names)
+
         def sent(found):
-            a, b, apart = (np.concatenate([x[k] for x in found]) for k in range(3))
-            order = np.lexsort((b, a))
+            a, b, apart, whole = (np.concatenate([x[k] for x in found]) for k in range(4))
+            if not len(a):
+                return
+            order = np.lexsort((~whole, apart, b, a))
             order = order[np.r_[True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)]]
             order = order[np.argsort(apart[order], kind="stable")]
-            a, b = a[order], b[order]
-            early = forest.unite(a, b)
-            for at in range(0, len(a), 50_000):
-                cut = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (a, b, early)], ["a", "b", "early"])
-
-        def bucket(rows):
-            token, place, node, size, fps = (np.concatenate([r[k] for r in rows]) for k in range(5))
-            at = np.repeat(np.cumsum([0, *(len(r[2]) for r in rows[:-1])]), [len(r[0]) for r in rows]) + np.concatenate([r[5] for r in rows])
-            size = size.astype(np.int64)
+            a, b, apart, whole = a[order], b[order], apart[order], whole[order]
+            early = np.zeros(len(a), bool)
+            close = np.flatnonzero(apart <= pivots.radius)
+            early[close] = forest.unite(a[close], b[close])
+            left = early | whole  # pairs of large groups that are no part of the forest are found again if need be
+            yield from rows(a[left], b[left], early[left], None, None)
+
+        def bucket(held):
+            token, place, part, node, size, fps = (np.concatenate([r[k] for r in held]) for k in range(6))
+            at = np.repeat(np.cumsum([0, *(len(r[3]) for r in held[:-1])]), [len(r[0]) for r in held]) + np.concatenate([r[6] for r in held])
+            size, table = size.astype(np.int64), pivots.table(fps, range(len(pivots.patterns)))
             turn = np.lexsort((size[at], token))
-            token, place, at = token[turn], place[turn].astype(np.int64), at[turn]
+            token, place, part, at = token[turn], place[turn].astype(np.int64), part[turn], at[turn]
+            fresh_token = np.r_[True, token[1:] != token[:-1]]
+            first = np.maximum.accumulate(np.where(fresh_token, np.arange(len(token)), 0))
+            length = np.diff(np.r_[np.flatnonzero(fresh_token), len(token)])
+            large = np.repeat(length, length) > GROUP
+            kept = large | part
+            run = np.cumsum(fresh_token | large & ((np.arange(len(token)) - first) % GROUP == 0))
+            yield from rows(token[kept].view(np.int64), node[at[kept]], None, size[at[kept]], place[kept])
+            seam = np.flatnonzero((run[1:] != run[:-1]) & (token[1:] == token[:-1]))
+            pairs = [(seam, seam + 1)] if len(seam) else []
             found, n = [], 0
-            for left, right in prefix_pairs(token, place, size[at], least):
+            for left, right in (*pairs, *run_pairs(run, place, size[at], least)):
                 x, y = at[left], at[right]
-                apart = np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1, dtype=np.int64)
-                found.append((np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), apart))
-                n += len(x)
+                apart = np.full(len(x), 1 << 20)
+                close = pivots.near(fps, table, x, y)
+                apart[close] = np.bitwise_count(fps[x[close]] ^ fps[y[close]]).sum(axis=1, dtype=np.int64)
+                use = (apart < 1 << 20) | ~large[left]
+                found.append((np.minimum(node[x], node[y])[use], np.maximum(node[x], node[y])[use], apart[use], ~large[left][use]))
+                n += int(use.sum())
                 if n > HELD_PAIRS:
                     yield from sent(found)
                     found, n = [], 0
@@ -432,13 +497,14 @@ def _meet(least: float, width: int):
 
         now, held = None, []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k in range(batch.num_rows):
+                row = [c[k].as_py() for c in batch.columns]
                 if row[0] != now and held:
                     yield from bucket(held)
                     held = []
                 now = row[0]
-                token, who, place, node, size, fps = (np.frombuffer(x, t) for x, t in zip(row[1:], ("<u8", "<u4", "<u4", "<i8", "<u4", "<u8"), strict=True))
-                held.append((token, place, node, size, fps.reshape(-1, width), who.astype(np.int64)))
+                token, who, place, part, node, size, fps = (np.frombuffer(x, t) for x, t in zip(row[1:], ("<u8", "<u4", "<u4", "?", "<i8", "<u4", "<u8"), strict=True))
+                held.append((token, place, part, node, size, fps.reshape(-1, pivots.width), who.astype(np.int64)))
         if held:
             yield from bucket(held)
 
@@ -468,20 +534,50 @@ def alike(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, le
     return scratch.save(both.select("a", "b", "left", "right").mapInArrow(_alike(least), "a long, b long"), "alike")
 
 
-def _similar_links(texts: DataFrame, nodes: DataFrame, width: int, shingle: int, least: float, scratch: Scratch) -> DataFrame:
+def _across(entries: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of entries of one large group, from different components, that may be similar enough.
+
+    A group's largest component meets the others, and these each other.  A group that is one component has no row here.
+    """
+    own = entries.join(roots, entries["node"] == roots["at"], "left").select("token", "node", "size", "place", F.coalesce("root", "node").alias("root"))
+    each = own.groupBy("token", "root").agg(F.count("*").alias("n"))
+    several = each.groupBy("token").agg(F.max_by("root", "n").alias("top"), F.count("*").alias("roots")).where("roots > 1").select("token", "top")
+    own = own.join(several, "token")
+    one, other = (own.select("token", "top", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "size", "place", "root"))) for k in (1, 2))
+    one = one.where("root_1 <> top").drop("top")
+    fits = F.least("size_1", "size_2") >= least * F.greatest("size_1", "size_2") - 1e-9
+    rest = F.least(F.col("size_1") - F.col("place_1"), F.col("size_2") - F.col("place_2"))
+    fits = fits & (rest * (1 + least) >= least * (F.col("size_1") + F.col("size_2")) - 1e-6)
+    order = (F.col("root_1") != F.col("root_2")) & ((F.col("root_2") == F.col("top")) | (F.col("root_1") < F.col("root_2")))
+    met = one.join(other, (one["token"] == other["token"]) & order & fits)
+    return met.select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct()
+
+
+def _similar_links(texts: DataFrame, nodes: DataFrame, pivots: Pivots, shingle: int, least: float, ranks: bytes, scratch: Scratch) -> DataFrame:
     """Links (a, b) that join just what all pairs of nodes of that similarity join."""
-    buckets = partitions_for(texts.sparkSession, nodes.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0, 8 * BUCKET_ENTRIES)
-    dealt = nodes.select("node", "fp", "n", "prefix").mapInArrow(_deal(buckets), DEALT)
-    met = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(least, width), "a long, b long, early boolean")
-    met = scratch.save(met.groupBy("a", "b").agg(F.max("early").alias("early")), "met")
+    n, size = nodes.agg(F.count("*"), F.sum(F.octet_length("prefix"))).first()
+    buckets = partitions_for(texts.sparkSession, size or 0, 8 * BUCKET_ENTRIES)
+    dealt = nodes.select("node", "fp", "n", "prefix").mapInArrow(_deal(buckets, ranks, n), DEALT)
+    met = dealt.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(_meet(least, pivots), MET)
+    met = scratch.save(met, "met")
+    entries = met.where("early is null").select(F.col("a").alias("token"), F.col("b").alias("node"), "size", "place")
+    pairs = met.where("early is not null").groupBy("a", "b").agg(F.max("early").alias("early"))
     end = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("brief").alias(f"{c}_brief"))
-    known = met.join(end("a"), "a").join(end("b"), "b").select("a", "b", "early", "a_n", "b_n", "a_brief", "b_brief")
-    pairs = scratch.save(known.mapInArrow(_possible(least), "a long, b long, early boolean"), "pairs")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        known = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "early", "a_n", "b_n", "a_brief", "b_brief")
+        return known.mapInArrow(_possible(least), "a long, b long, early boolean")
+
+    pairs = scratch.save(likely(pairs), "pairs")
     first = alike(texts, nodes, pairs.where("early").select("a", "b"), shingle, least, scratch)
-    roots = stars(first, scratch)
-    end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    roots = stars(first, scratch).withColumnRenamed("node", "at")
+    end_root = lambda c: roots.select(F.col("at").alias(c), F.col("root").alias(f"{c}_root"))
     apart = F.coalesce("a_root", "a") != F.coalesce("b_root", "b")
-    rest = scratch.save(pairs.where("not early").join(end("a"), "a", "left").join(end("b"), "b", "left").where(apart).select("a", "b"), "rest")
+    rest = pairs.where("not early").join(end_root("a"), "a", "left").join(end_root("b"), "b", "left").where(apart).select("a", "b")
+    if not entries.isEmpty():
+        across = likely(_across(entries, roots, least).withColumn("early", F.lit(False)))
+        rest = rest.unionByName(across.select("a", "b")).distinct()
+    rest = scratch.save(rest, "rest")
     return first if rest.isEmpty() else first.unionByName(alike(texts, nodes, rest, shingle, least, scratch))
 
 
@@ -492,7 +588,8 @@ def _members(docs: DataFrame, pivots: Pivots, shingle: int, id_column: str, text
     if similar is None:
         found = texts.mapInArrow(_fingerprints(shingle, pivots.width), "id long, told long, fp binary").withColumn("key", F.col("fp"))
     else:
-        found = texts.mapInArrow(_prefixes(shingle, pivots.width, similar, shingle_ranks(texts, shingle)), "id long, told long, key binary, fp binary, n int, prefix binary, brief binary")
+        ranks = shingle_ranks(texts, shingle)
+        found = texts.mapInArrow(_prefixes(shingle, pivots.width, similar, ranks), "id long, told long, key binary, fp binary, n int, prefix binary, brief binary")
     prints = linking.save(found, "prints")
     parts = [F.first(c).alias(c) for c in prints.columns[2:] if c != "key"]
     nodes = prints.groupBy("key").agg(F.min(F.struct("id", "told")).alias("least"), *parts)
@@ -502,7 +599,7 @@ def _members(docs: DataFrame, pivots: Pivots, shingle: int, id_column: str, text
         count = partitions_for(spark, nodes.count() * len(pivots.keys), 500_000)
         links = keyed.repartition(count, "key").sortWithinPartitions("key").mapInArrow(_links(pivots), "a long, b long")
     else:
-        links = _similar_links(texts, nodes, pivots.width, shingle, similar, linking)
+        links = _similar_links(texts, nodes, pivots, shingle, similar, ranks, linking)
     free_shuffles(spark)
     roots = stars(links, linking)
     rooted = linking.save(nodes.join(roots.withColumnRenamed("node", "at"), nodes["node"] == F.col("at"), "left").select("key", "id", "told", F.coalesce("root", "node").alias("root")), "rooted")

@@ -47,69 +47,6 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_simhash(spark, docs):
-    df, rows = docs
-    got = {r["doc_id"]: r for r in simhash.groups(df, simhash.spare_families(2)).collect()}
-    prints = {}
-    for i, text, *_ in rows:
-        w = (text or "").encode().lower().split()
-        grams = [b" ".join(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) > 2 else ([b" ".join(w)] if w else [])
-        h = [xxhash.xxh64_intdigest(g, seed=42) for g in grams]
-        prints[i] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-    root = {i: i for i in prints}
-    for _ in prints:
-        for a in prints:
-            for b in prints:
-                if (prints[a] ^ prints[b]).bit_count() <= 2:
-                    root[a] = root[b] = min(root[a], root[b])
-    for i, p in prints.items():
-        assert int.from_bytes(got[i]["fp"], "little") == p and got[i]["component_id"] == root[i]
-    assert simhash.groups(empty(spark), simhash.spare_families(2)).count() == 0
-
-
-def test_big_buckets_lose_no_pair(monkeypatch):
-    rng = np.random.default_rng(5)
-    base = rng.integers(0, 1 << 64, 30, dtype=np.uint64)
-    fps = np.array([x ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b)) for x in base for a, b in rng.integers(0, 64, (12, 2))], np.uint64)
-    pivots, keys = simhash.spare_families(2), np.zeros(len(fps), np.uint64)
-
-    def classes():
-        root = list(range(len(fps)))
-        for left, right in simhash.close_pairs(pivots, keys, fps[:, None]):
-            for a, b in zip(left, right, strict=True):
-                x, y = root[a], root[b]
-                root = [min(x, y) if r in (x, y) else r for r in root]
-        return root
-
-    want = classes()
-    monkeypatch.setattr(simhash, "BUCKET_PAIRS", 10)
-    assert classes() == want
-
-
-def test_doubtful_links_are_checked_on_the_texts(spark):
-    """Each text's neighbours have 1 to 9 of 60 words changed; copies, nulls, blanks and a repeated id besides."""
-    rng, rows = random.Random(9), []
-    for i in range(40):
-        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
-        rows.append((10 * i, " ".join(base)))
-        for k in range(1, 10):
-            rows.append((10 * i + k, " ".join(base[:-k] + [f"x{rng.randrange(10**6)}" for _ in range(k)])))
-    rows += [(900, rows[5][1].upper()), (901, None), (902, " "), (903, "one two"), (903, "two one")]
-    grams = lambda t: {tuple(w[k : k + 5]) for w in [(t or "").lower().split()] if w for k in range(max(1, len(w) - 4))}
-    sets, root = [grams(t) for _, t in rows], list(range(len(rows)))
-    for a in range(len(rows)):
-        for b in range(a):
-            x, y = sets[a], sets[b]
-            if len(x & y) >= 0.8 * len(x | y):
-                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
-    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA).repartition(4)
-    got = {(r["doc_id"], r["text"]) for r in simhash.keep_one(docs, simhash.sampled_families(60, 4, 64, 20), 5, similar=0.8).select("doc_id", "text").collect()}
-    heads = {rows[r] for r in set(root)}
-    lost = got - heads - {(902, " "), (903, "one two"), (903, "two one")}
-    assert heads - {(902, " ")} <= got and len(lost) <= 2
-    assert simhash.keep_one(empty(spark), simhash.sampled_families(60, 4, 64, 20), 5, similar=0.8).count() == 0
-
-
 def sentence(rng, n):
     return [f"w{rng.randrange(10**6)}" for _ in range(n)]
 
@@ -170,20 +107,6 @@ def test_rows_without_ids_are_rows_of_their_own(spark):
     assert sorted(map(tuple, kept)) == sorted([(5, a), (7, b + " x"), (7, c + " y z")])
 
 
-def test_sharding(spark, docs):
-    df, rows = docs
-    out = sharding.shuffle(df, 7).collect()
-    slots = defaultdict(list)
-    for r in out:
-        slots[r["shard"]].append(r["slot"])
-        assert r["text_crc32"] == zlib.crc32((rows[r["doc_id"]][1] or "").encode())
-    sizes = [len(slots[k]) for k in range(7)]
-    assert max(sizes) - min(sizes) <= 1 and sum(sizes) == len(rows) and all(sorted(v) == list(range(len(v))) for v in slots.values())
-    assert sharding.shuffle(empty(spark), 7).count() == 0
-    m = sharding.matrix([5, 0, 9, 30], 4, 1)
-    assert m.sum(axis=1).tolist() == [5, 0, 9, 30] and np.ptp(m.sum(axis=0)) <= 1
-
-
 def test_licenses(spark, docs):
     df, rows = docs
     extra = spark.createDataFrame([(500, "CC BY cc-by Apache License gnu general public license", None, None, 0), (501, "permission is hereby granted free of charge to any lucky person obtaining a copy of this software and associated documentation files", None, None, 0)], SCHEMA)
