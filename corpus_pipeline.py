@@ -14,8 +14,8 @@ from gridfield.llm.queries import table, tokenizer_path
 from gridfield.llm.runtime import Scratch
 
 #: Near duplicates: all pairs whose sets of five-word shingles have a similarity of 0.8, checked on the sets.  Fingerprints
-#: of four words say which pairs are checked first.
-SHINGLE, SIMILAR, WORDS = 5, 0.8, 4
+#: of four words, and pivots that discard pairs further apart than so many bits, say which pairs are checked first.
+SHINGLE, SIMILAR, WORDS, NEAR = 5, 0.8, 4, 64
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest doc_id stays."""
-    return simhash.keep_one(docs, simhash.spare_families(2, WORDS), SHINGLE, similar=SIMILAR)
+    return simhash.keep_one(docs, simhash.plain_table(NEAR, WORDS), SHINGLE, similar=SIMILAR)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
