@@ -61,20 +61,172 @@ class Field:
         values = [self.value(), *(A.load(F.col(f"v{k}"), o.shape, o.complex) for k, o in enumerate(others))]
         return Field(self.lattice, df.select("site", A.save(f(*values)).alias("v")), self.shape if shape is None else tuple(shape), self.complex if complex_ is None else complex_)
 
+    # arithmetic: with a field of the same lattice, or a number (or column) for every site
+    def _both(self, o, f, shape=None) -> Field:
+        if isinstance(o, Field):
+            wide = self.shape if shape is None and (self.shape or not o.shape) else o.shape if shape is None else shape
+            return self.with_([o], f, wide, self.complex or o.complex)
+        return self.map(lambda a: f(a, o), shape, self.complex or isinstance(o, A.Complex))
+
     def __add__(self, o):
-        return self.with_([o], A.add) if isinstance(o, Field) else self.map(lambda a: A.add(a, o))
+        return self._both(o, A.add)
 
     def __sub__(self, o):
-        return self.with_([o], A.sub)
+        return self._both(o, A.sub)
+
+    def __mul__(self, o):
+        """By a number or a scalar field; a scalar field by any field."""
+        if isinstance(o, Field) and not self.shape and o.shape:
+            return o * self
+        return self._both(o, A.scale)
+
+    def __truediv__(self, o):
+        """By a number or a scalar field."""
+        return self._both(o, A.divide)
+
+    def __radd__(self, o):
+        return self + o
+
+    def __rmul__(self, o):
+        return self * o
+
+    def __rsub__(self, o):
+        return -self + o
+
+    def __rtruediv__(self, o):
+        return self.map(lambda a: A.over(o, a), (), self.complex or isinstance(o, A.Complex))
+
+    def __neg__(self):
+        return self.map(A.negate)
+
+    def __pow__(self, p):
+        """A scalar field to a number or a scalar field."""
+        return self._both(p, A.power)
+
+    def __rpow__(self, base):
+        return self.map(lambda a: A.power(base, a))
+
+    def call(self, name: str) -> Field:
+        """An elementary function of a scalar field: sqrt, exp, ln, sin, cos, tan, sinh, cosh, tanh."""
+        return self.map(lambda a: A.call(name, a))
+
+    def abs(self) -> Field:
+        return self.map(lambda a: a.abs() if self.complex else F.abs(a), (), False)
+
+    def norm2(self) -> Field:
+        """Of a value, a vector or a matrix: the sum of squared moduli."""
+        return self.map(lambda a: A.norm2(a) if self.shape else A.norm2_of(a), (), False)
+
+    def norm(self) -> Field:
+        return self.norm2().call("sqrt")
+
+    def conjugate(self) -> Field:
+        return self.map(A.conjugate)
+
+    def adjoint(self) -> Field:
+        """Matrices: conjugate and transpose; scalars: conjugate."""
+        return self.map(A.adjoint, self.shape[::-1]) if len(self.shape) == 2 else self.conjugate()
+
+    def transpose(self) -> Field:
+        return self.map(A.transpose, self.shape[::-1])
+
+    def re(self) -> Field:
+        return self.map(lambda a: A.parts(a, "re"), None, False) if self.complex else self
 
-    def __mul__(self, s):
-        """By a number, or by a scalar field."""
-        if isinstance(s, Field):
-            return self.with_([s], A.scale, complex_=self.complex or s.complex)
-        return self.map(lambda a: A.scale(a, s))
+    def im(self) -> Field:
+        return self.map(lambda a: A.parts(a, "im"), None, False) if self.complex else self * 0.0
+
+    def to_complex(self) -> Field:
+        return self if self.complex else self.map(A.as_complex, None, True)
+
+    def trace(self) -> Field:
+        return self.map(A.trace, ())
+
+    def determinant(self) -> Field:
+        return self.map(A.determinant, ())
+
+    def adjugate(self) -> Field:
+        return self.map(A.adjugate)
+
+    def inverse(self) -> Field:
+        """As the field's group has it."""
+        return self.map(lambda a: A.inverse(a, self.group))
+
+    def dot(self, o: Field) -> Field:
+        return self.with_([o], A.dot, (), self.complex or o.complex)
+
+    def outer(self, o: Field) -> Field:
+        return self.with_([o], A.outer, (self.shape[0], o.shape[0]), self.complex or o.complex)
 
     def matmul(self, o: Field) -> Field:
-        return self.with_([o], A.matmul, (self.shape[0], o.shape[1]))
+        """With matrices or vectors."""
+        if len(o.shape) == 1:
+            return self.with_([o], A.matvec, (self.shape[0],), self.complex or o.complex)
+        return self.with_([o], A.matmul, (self.shape[0], o.shape[1]), self.complex or o.complex)
+
+    def compare(self, op: str, o) -> DataFrame:
+        """site and ``is``: ==, !=, <, <=, > or >= with a scalar field or a number; order only of real ones."""
+        of = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+        if op in of and self.complex:
+            raise ValueError("complex numbers have no order")
+        same = lambda a, b: a.same(b) if isinstance(a, A.Complex) else a == b
+        f = of.get(op) or {"==": same, "!=": lambda a, b: ~same(a, b)}[op]
+        return self._both(o, lambda a, b: f(a, A.scalar(b)), ()).df.withColumnRenamed("v", "is")
+
+    # elements and assignment
+    def _at(self, index: tuple[int, ...]) -> int:
+        if len(index) != len(self.shape) or any(not 0 <= i < n for i, n in zip(index, self.shape, strict=True)):
+            raise IndexError(f"no element {index} in {self.shape}")
+        k = 0
+        for i, n in zip(index, self.shape, strict=True):
+            k = k * n + i
+        return k
+
+    def element(self, *index: int) -> Field:
+        """A scalar field of one element, by one, two, three or more numbers."""
+        k = self._at(index)
+        return Field(self.lattice, self.df.select("site", F.get("v", F.lit(k)).alias("v")), (), self.complex)
+
+    def set_element(self, index: tuple[int, ...], value, where=None) -> Field:
+        """With one element in place of the field's: a number, a column or a scalar field; where: a condition on the site."""
+        k = self._at(tuple(index))
+
+        def put(a, b):
+            flat = A.flatten(a)
+            new = A.as_complex(A.scalar(b)) if self.complex else A.scalar(b)
+            flat[k] = A.choose(where, new, flat[k])
+            return flat
+
+        return self._both(value, put, self.shape)
+
+    def assign(self, value, where=None) -> Field:
+        """With a number in every element, or another field's values; where: a condition on the site."""
+        if isinstance(value, Field):
+            if value.shape != self.shape:
+                raise ValueError("fields of different shapes")
+            pick = lambda a, b: [A.choose(where, y, x) for x, y in zip(A.flatten(a), A.flatten(b), strict=True)]
+            return self._both(value.to_complex() if self.complex else value, lambda a, b: pick(a, b) if self.shape else A.choose(where, b, a))
+        new = A.as_complex(A.scalar(value)) if self.complex else A.scalar(value)
+        return self.map(lambda a: [A.choose(where, new, x) for x in A.flatten(a)] if self.shape else A.choose(where, new, a))
+
+    def squeeze(self) -> Field:
+        """Vectors of one element as scalars."""
+        if self.shape != (1,):
+            raise ValueError("only vectors of one element are scalars")
+        return self.element(0)
+
+    def site(self, n: int):
+        """The value at one site."""
+        row = self.df.where(F.col("site") == n).first()
+        if row is None:
+            raise IndexError(f"no site {n}")
+        return row["v"]
+
+    def text(self) -> DataFrame:
+        """site and a text of its value, rows of matrices in brackets."""
+        one = lambda x: F.concat(F.lit("("), x.re.cast("string"), F.lit(", "), x.im.cast("string"), F.lit(")")) if self.complex else x.cast("string")
+        told = lambda a: F.concat(F.lit("["), F.concat_ws(", ", *map(told, a)), F.lit("]")) if isinstance(a, list) else one(a)
+        return self.df.select("site", told(self.value()).alias("text"))
 
     def shift(self, offset: tuple[int, ...]) -> Field:
         """dest[x] = src[x + offset]: rows change their key; no join and no exchange."""

@@ -7,29 +7,27 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridfield.lattice import Lattice, product
+from gridfield.lattice import Lattice, product, whole
 
 FREE = -1
 
 
 def lane_grid(dims: tuple[int, ...], lanes: int, given: tuple[int, ...] = ()) -> tuple[int, ...]:
-    """Lanes along each dimension.  Those given must divide; the others are doubled in rounds from the last dimension to
-    the first, passing over one whose predecessor (cyclically) is free and still longer."""
-    given = given or (FREE,) * len(dims)
-    grid = [max(1, g) for g in given]
+    """Lanes along each dimension.  Those given must divide; of the others, the one with most sites a lane takes the next
+    prime factor of the lanes that divides it, large factors first; of several the one with fewest lanes, then the last."""
+    grid = [g if g > 0 else 1 for g in given or (FREE,) * len(dims)]
+    free = [d for d, g in enumerate(given or (FREE,) * len(dims)) if g <= 0]
     if any(n % g for n, g in zip(dims, grid, strict=True)) or lanes % product(grid):
         raise ValueError("lanes must divide the grid and the number of lanes")
-    free = [g <= 0 for g in given]
-    left = lanes // product(grid)
-    rest = lambda d: dims[d] // grid[d]
+    left, factors = lanes // product(grid), []
     while left > 1:
-        if not any(f and rest(d) % 2 == 0 for d, f in enumerate(free)):
+        factors.append(next(f for f in range(2, left + 1) if left % f == 0))
+        left //= factors[-1]
+    for f in reversed(factors):
+        fits = [d for d in free if dims[d] // grid[d] % f == 0]
+        if not fits:
             raise ValueError(f"{lanes} lanes don't fit on {dims}")
-        for d in reversed(range(len(dims))):
-            before = (d - 1) % len(dims)
-            longer = free[before] and rest(before) > rest(d)
-            if left > 1 and free[d] and not longer and rest(d) % 2 == 0:
-                grid[d], left = grid[d] * 2, left // 2
+        grid[max(fits, key=lambda d: (dims[d] // grid[d], -grid[d], d))] *= f
     return tuple(grid)
 
 
@@ -55,7 +53,7 @@ class LaneLayout:
 
     def place(self, site: Column) -> tuple[Column, Column]:
         xs = self.lattice.coordinates(site)
-        group = self.groups.index([F.floor(x / F.lit(g)) for x, g in zip(xs, self.grid, strict=True)])
+        group = self.groups.index([whole(x, g) for x, g in zip(xs, self.grid, strict=True)])
         return group.cast("long"), self.lanes.index([F.pmod(x, F.lit(g)) for x, g in zip(xs, self.grid, strict=True)]).cast("long")
 
     def site(self, group: Column, lane: Column) -> Column:

@@ -13,6 +13,11 @@ def product(xs) -> int:
     return math.prod(xs)
 
 
+def whole(a: Column, b: int) -> Column:
+    """a // b of numbers that aren't negative, in integers."""
+    return F.call_function("div", a, F.lit(b))
+
+
 @dataclass(frozen=True)
 class Lattice:
     """dims; process and ghost grids are hints without meaning here (every field is global)."""
@@ -51,7 +56,7 @@ class Lattice:
 
     # columns
     def coordinate(self, site: Column, d: int) -> Column:
-        return F.pmod(F.floor(site / F.lit(self.strides[d])), F.lit(self.dims[d])).cast("long")
+        return F.pmod(whole(site, self.strides[d]), F.lit(self.dims[d])).cast("long")
 
     def coordinates(self, site: Column) -> list[Column]:
         return [self.coordinate(site, d) for d in range(self.rank)]
@@ -74,7 +79,7 @@ class Lattice:
         """The C-order number of a site by its number in files."""
         xs, step = [], 1
         for n in self.dims:
-            xs.append(F.pmod(F.floor(k / F.lit(step)), F.lit(n)))
+            xs.append(F.pmod(whole(k, step), F.lit(n)))
             step *= n
         return self.index(xs).cast("long")
 
@@ -88,7 +93,7 @@ class Lattice:
         """Even sites first.  A bijection for even volumes; others are refused."""
         if self.volume % 2:
             raise ValueError("even-odd order needs an even number of sites")
-        half = F.floor(self.file_index(self.coordinates(site)) / F.lit(2)).cast("long")
+        half = whole(self.file_index(self.coordinates(site)), 2)
         return half + F.when(self.parity(site) == 1, F.lit(self.volume // 2)).otherwise(F.lit(0))
 
     def padded_index(self, xs: list[Column]) -> Column:
@@ -97,6 +102,50 @@ class Lattice:
         wide = Lattice(self.padded_dims())
         return wide.index([x + F.lit(g) for x, g in zip(xs, ghosts, strict=True)])
 
+    def unpadded(self, k: Column) -> Column:
+        """The site of a number inside the ghost-padded grid; null for ghosts."""
+        ghosts, wide = self.ghost_grid or (0,) * self.rank, Lattice(self.padded_dims())
+        xs = [x - F.lit(g) for x, g in zip(wide.coordinates(k), ghosts, strict=True)]
+        inside = F.lit(True)
+        for x, n in zip(xs, self.dims, strict=True):
+            inside = inside & (x >= 0) & (x < n)
+        return F.when(inside, self.index(xs))
+
+    # parts of a process grid
+    def processes(self) -> Lattice:
+        """The process grid; it must divide the dimensions."""
+        grid = self.process_grid or (1,) * self.rank
+        if any(n % p for n, p in zip(self.dims, grid, strict=True)):
+            raise ValueError("a process grid must divide the dimensions")
+        return Lattice(grid)
+
+    def part(self) -> Lattice:
+        """The grid of one process."""
+        return Lattice(self.local_dims())
+
+    def bounds(self, process: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """The first and last coordinates of a process's part."""
+        low = tuple(x * n for x, n in zip(self.processes().coords_of(process), self.local_dims(), strict=True))
+        return low, tuple(a + n - 1 for a, n in zip(low, self.local_dims(), strict=True))
+
+    def process_of(self, site: Column) -> Column:
+        return self.processes().index([whole(x, n) for x, n in zip(self.coordinates(site), self.local_dims(), strict=True)])
+
+    def local_index(self, site: Column) -> Column:
+        """The site's number in its process's part."""
+        return self.part().index([F.pmod(x, F.lit(n)) for x, n in zip(self.coordinates(site), self.local_dims(), strict=True)])
+
+    def global_index(self, process: Column, local: Column) -> Column:
+        """The site with that number in a process's part."""
+        at = zip(self.processes().coordinates(process), self.part().coordinates(local), self.local_dims(), strict=True)
+        return self.index([p * F.lit(n) + x for p, x, n in at])
+
+    def local_coordinates(self, xs: list[Column], low: tuple[int, ...]) -> list[Column]:
+        return [x - F.lit(a) for x, a in zip(xs, low, strict=True)]
+
+    def global_coordinates(self, xs: list[Column], low: tuple[int, ...]) -> list[Column]:
+        return [x + F.lit(a) for x, a in zip(xs, low, strict=True)]
+
     def moved(self, site: Column, offset: tuple[int, ...]) -> Column:
         """The number of the site at x + offset, any offset, wrapped."""
         return self.index([x + F.lit(o) if o else x for x, o in zip(self.coordinates(site), offset, strict=True)])

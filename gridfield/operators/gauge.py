@@ -1,100 +1,138 @@
-"""Link fields: ``site`` and ``u``, an array over directions of flat row-major complex matrices."""
+"""Link fields: ``site`` and ``u``, an array over directions of flat row-major complex matrices.
+
+Products around plaquettes are taken a plane a row: the two links at a site and the two that close the plane, which two
+equi-joins bring.  So expressions stay as short as one product, whatever the number of directions.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import permutations
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridfield.field import Field
 from gridfield.functions import algebra as A
 from gridfield.lattice import Lattice
 
 
 @dataclass(frozen=True)
 class Gauge:
+    """group: how links are inverted, as for matrices ("none": by determinant)."""
+
     lattice: Lattice
     df: DataFrame
     nc: int
+    group: str = "SU"
 
     @staticmethod
     def unit(spark: SparkSession, lattice: Lattice, nc: int) -> Gauge:
         one = A.save(A.identity(nc, True))
         return Gauge(lattice, lattice.sites(spark).select("site", F.array(*[one] * lattice.rank).alias("u")), nc)
 
+    @staticmethod
+    def of_fields(fields: list[Field], group: str = "SU") -> Gauge:
+        """A field of matrices a direction: equi-joins on the site."""
+        first, df = fields[0], fields[0].df.select("site", F.col("v").alias("u0"))
+        if len(fields) != first.lattice.rank or any(f.shape != first.shape or not f.complex for f in fields):
+            raise ValueError("one field of complex matrices a direction")
+        for mu, f in enumerate(fields[1:], 1):
+            df = df.join(f.df.select("site", F.col("v").alias(f"u{mu}")), "site")
+        return Gauge(first.lattice, df.select("site", F.array(*(f"u{mu}" for mu in range(len(fields)))).alias("u")), first.shape[0], group)
+
     def link(self, mu: int, column: str = "u"):
         return A.load(F.get(F.col(column), F.lit(mu)), (self.nc, self.nc), True)
 
-    def _forward(self) -> DataFrame:
-        """site, u, and f{mu}: the links at x + mu.  A shifted copy is a change of key; each costs one join."""
-        lat, df = self.lattice, self.df.select("site", "u")
-        for mu in range(lat.rank):
-            df = df.join(self.df.select(lat.moved(F.col("site"), lat.unit(mu, -1)).alias("site"), F.col("u").alias(f"f{mu}")), "site")
-        return df
+    def field(self, mu: int) -> Field:
+        """The links of one direction."""
+        return Field(self.lattice, self.df.select("site", F.get("u", F.lit(mu)).alias("v")), (self.nc, self.nc), True, self.group)
 
     def link_trace(self) -> DataFrame:
         """Mean over links of Re tr U / nc."""
         t = A.total(A.trace(self.link(mu)).re for mu in range(self.lattice.rank))
         return self.df.agg((F.sum(t) / F.lit(float(self.lattice.rank * self.nc * self.lattice.volume))).alias("link_trace"))
 
-    def _corners(self, whole: DataFrame) -> DataFrame:
-        """Adds t{p}_{q} = Up(x) Uq(x + p) for ordered pairs, each a column, so that later products don't repeat it."""
-        size = (self.nc, self.nc)
-        made = [A.save(A.matmul(self.link(p), A.load(F.get(F.col(f"f{p}"), F.lit(q)), size, True))).alias(f"t{p}_{q}") for p, q in permutations(range(self.lattice.rank), 2)]
-        return whole.select("*", *made)
-
-    def _product(self, a: str, b: str):
-        """Re tr a b^dagger of two stored matrices."""
-        x, y = (A.load(F.col(c), (self.nc, self.nc), True) for c in (a, b))
-        return A.total(A.dot(q, p).re for p, q in zip(x, y, strict=True))
+    def _planes(self) -> DataFrame:
+        """A row a site and plane p < q: a = Up(x), b = Uq(x), c = Uq(x + p), d = Up(x + q), and the sites x + p, x + q."""
+        lat, site = self.lattice, F.col("site")
+        ahead = [lat.moved(site, lat.unit(mu)) for mu in range(lat.rank)]
+        at = lambda mu: F.get("u", F.lit(mu))
+        each = [F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), ahead[p].alias("at_p"), ahead[q].alias("at_q"), at(p).alias("a"), at(q).alias("b")) for p, q in combinations(range(lat.rank), 2)]
+        rows = self.df.select("site", F.explode(F.array(*each)).alias("e")).select("site", "e.*")
+        long = self.df.select(F.col("site").alias("far"), F.posexplode("u").alias("dir", "m"))
+        end = lambda name: long.select(F.col("far").alias(f"{name}_far"), F.col("dir").alias(f"{name}_dir"), F.col("m").alias(name))
+        c, d = end("c"), end("d")
+        rows = rows.join(c, (rows["at_p"] == c["c_far"]) & (rows["q"] == c["c_dir"]))
+        rows = rows.join(d, (rows["at_q"] == d["d_far"]) & (rows["p"] == d["d_dir"]))
+        return rows.select("site", "p", "q", "at_p", "at_q", "a", "b", "c", "d")
+
+    def _stored(self, name: str):
+        return A.load(F.col(name), (self.nc, self.nc), True)
+
+    def _corners(self) -> DataFrame:
+        """The planes, with t = a c and s = b d, the two ways to the far corner; columns, so that later products don't repeat them."""
+        m = self._stored
+        return self._planes().withColumns({"t": A.save(A.matmul(m("a"), m("c"))), "s": A.save(A.matmul(m("b"), m("d")))})
+
+    def _product(self, x: str, y: str):
+        """Re tr x y^dagger of two stored matrices."""
+        return A.total(A.dot(q, p).re for p, q in zip(self._stored(x), self._stored(y), strict=True))
 
     def plaquette(self) -> DataFrame:
         """Mean over planes of Re tr P / nc."""
         d = self.lattice.rank
-        planes = A.total(self._product(f"t{mu}_{nu}", f"t{nu}_{mu}") for mu in range(d) for nu in range(mu))
         n = d * (d - 1) / 2 * self.nc * self.lattice.volume
-        return self._corners(self._forward()).agg((F.sum(planes) / F.lit(n)).alias("plaquette"))
+        return self._corners().agg((F.sum(self._product("t", "s")) / F.lit(n)).alias("plaquette"))
 
     def action(self, beta: float, cp: float = 1.0, cr: float = 0.0, cpg: float = 0.0) -> DataFrame:
         """(beta / nc) * sum of cp Re tr(1 - P) + cr Re tr(2 - R1 - R2) over sites and planes.
 
-        The backward three-link products of a rectangle are made where their corner lies and then change their key, so
-        they cost a join a direction, not one a corner.
+        Of a rectangle, one half is a product of three links at its site, and the other one of three at the site before, which
+        changes its key: both halves of all rectangles meet in one aggregation by site and ordered plane.
         """
         if cpg:
             raise ValueError("the parallelogram term isn't defined")
-        lat, d, size = self.lattice, self.lattice.rank, (self.nc, self.nc)
-        pairs = list(permutations(range(d), 2))
-        stored = lambda c: A.load(F.col(c), size, True)
-        whole = self._corners(self._forward())
-        planes = [(mu, nu) for mu in range(d) for nu in range(mu)]
-        terms = [F.lit(cp) * (F.lit(float(self.nc)) - self._product(f"t{m}_{n}", f"t{n}_{m}")) for m, n in planes]
+        whole, m, nc = self._corners(), self._stored, float(self.nc)
+        terms = whole.select((F.lit(cp) * (F.lit(nc) - self._product("t", "s"))).alias("term"))
         if cr:
-            # a{p}_{q}(y) = Up(y)^dagger Uq(y); b{p}_{q}(y) = a{p}_{q}(y) Up(y + q); c{p}_{q}(x) = t{p}_{q}(x) Up(x + q)^dagger
-            half = self._forward().select("site", *[f"f{q}" for q in range(d)], *(A.save(A.matmul(A.adjoint(self.link(p)), self.link(q))).alias(f"a{p}_{q}") for p, q in pairs))
-            made = half.select("site", *(A.save(A.matmul(stored(f"a{p}_{q}"), self.link(p, f"f{q}"))).alias(f"b{p}_{q}") for p, q in pairs))
-            whole = whole.select("*", *(A.save(A.matmul(stored(f"t{p}_{q}"), A.adjoint(self.link(p, f"f{q}")))).alias(f"c{p}_{q}") for p, q in pairs))
-            for p in range(d):
-                own = [f"b{p}_{q}" for q in range(d) if q != p]
-                whole = whole.join(made.select(lat.moved(F.col("site"), lat.unit(p)).alias("site"), *own), "site")
-            terms += [F.lit(cr) * (F.lit(2.0 * self.nc) - self._product(f"c{m}_{n}", f"b{m}_{n}") - self._product(f"c{n}_{m}", f"b{n}_{m}")) for m, n in planes]
-        return whole.agg((F.sum(A.total(terms)) * F.lit(beta / self.nc)).alias("action"))
+            product = lambda x, y, z: A.save(A.matmul(A.matmul(x, y), z))
+            halves = (
+                (False, "site", "p", "q", A.save(A.matmul(m("t"), A.adjoint(m("d"))))),
+                (False, "site", "q", "p", A.save(A.matmul(m("s"), A.adjoint(m("c"))))),
+                (True, "at_p", "p", "q", product(A.adjoint(m("a")), m("b"), m("d"))),
+                (True, "at_q", "q", "p", product(A.adjoint(m("b")), m("a"), m("c"))),
+            )
+            each = [F.struct(F.lit(moved).alias("moved"), F.col(at).alias("at"), F.col(x).alias("x"), F.col(y).alias("y"), v.alias("v")) for moved, at, x, y, v in halves]
+            rows = whole.select(F.explode(F.array(*each)).alias("e")).select("e.*")
+            side = lambda moved, name: F.first(F.when(F.col("moved") == moved, F.col("v")), ignorenulls=True).alias(name)
+            met = rows.groupBy("at", "x", "y").agg(side(False, "own"), side(True, "before"))
+            terms = terms.unionByName(met.select((F.lit(cr) * (F.lit(nc) - self._product("own", "before"))).alias("term")))
+        return terms.agg((F.sum("term") * F.lit(beta / self.nc)).alias("action"))
+
+    def transport(self, field: Field, mu: int, direction: int = 1) -> Field:
+        """U_mu(x) f(x + mu), or U_mu(x - mu)^-1 f(x - mu); f: complex vectors or matrices."""
+        link = self.field(mu)
+        if direction > 0:
+            return link.matmul(field.shift(self.lattice.unit(mu)))
+        return link.inverse().matmul(field).shift(self.lattice.unit(mu, -1))
 
     def covariant(self, psi: DataFrame, mu: int, direction: int = 1) -> DataFrame:
-        """U_mu(x) psi(x + mu), or U_mu(x - mu)^dagger psi(x - mu); psi: site, v (complex vectors)."""
-        lat, link, v = self.lattice, self.link(mu), A.load(F.col("v"), (self.nc,), True)
-        if direction > 0:
-            moved = psi.select(lat.moved(F.col("site"), lat.unit(mu, -1)).alias("site"), "v")
-            return self.df.join(moved, "site").select("site", A.save(A.matvec(link, v)).alias("v"))
-        made = self.df.join(psi, "site").select("site", A.save(A.matvec(A.adjoint(link), v)).alias("v"))
-        return made.select(lat.moved(F.col("site"), lat.unit(mu)).alias("site"), "v")
-
-    def covariant_derivative(self, psi: DataFrame, mu: int) -> DataFrame:
-        """Half the forward less the backward transport."""
-        ahead, behind = self.covariant(psi, mu, 1), self.covariant(psi, mu, -1).withColumnRenamed("v", "w")
-        v, w = (A.load(F.col(c), (self.nc,), True) for c in ("v", "w"))
-        return ahead.join(behind, "site").select("site", A.save(A.scale(A.sub(v, w), 0.5)).alias("v"))
+        """The transport of complex vectors: site and v."""
+        return self.transport(Field(self.lattice, psi, (self.nc,), True), mu, direction).df
+
+    def covariant_derivative(self, psi: DataFrame, mu: int, kind: str = "symmetric", spacing: float = 1.0) -> DataFrame:
+        """Of complex vectors: the forward or the backward difference with the transport, or half their sum."""
+        f = Field(self.lattice, psi.select("site", "v"), (self.nc,), True)
+        if kind == "forward":
+            out = self.transport(f, mu, 1) - f
+        elif kind == "backward":
+            out = f - self.transport(f, mu, -1)
+        elif kind == "symmetric":
+            out = (self.transport(f, mu, 1) - self.transport(f, mu, -1)) / 2.0
+        else:
+            raise ValueError(f"no derivative {kind}")
+        return (out / spacing).df
 
 
 def matmul_flops(nc: int) -> int:

@@ -252,16 +252,12 @@ def mat_adjugate(spark, sf_dir):
     return _long(X.real(spark, sf_dir, 0, (3, 3)).map(A.adjugate), digits=9)
 
 
-_SMALL = "(CASE WHEN abs({d}) < 1e-4 THEN 0.0 ELSE {x} / {d} END)"
-
-
-@query(f"{E} SELECT site, unnest([{', '.join(str(3 * i + j) for i in range(3) for j in range(3))}]) AS k, unnest([{', '.join(r(_SMALL.format(d=_DET, x=_minor(j, i)), 4) for i in range(3) for j in range(3))}]) AS v FROM e")
+@query(f"{E} SELECT site, unnest([{', '.join(str(3 * i + j) for i in range(3) for j in range(3))}]) AS k, unnest([{', '.join(f'{r(_minor(j, i), 6)}' for i in range(3) for j in range(3))}]) AS v FROM e WHERE {_DET} <> 0")
 def mat_inverse(spark, sf_dir):
-    def guarded(a):
-        d = A.determinant(a)
-        return [[F.when(F.abs(d) < 1e-4, F.lit(0.0)).otherwise(x) for x in row] for row in A.inverse(a)]
-
-    return _long(X.real(spark, sf_dir, 0, (3, 3)).map(guarded), digits=4)
+    """The inverse times the determinant, which is the adjugate, however small the determinant; singular matrices left out."""
+    m = X.real(spark, sf_dir, 0, (3, 3))
+    m = Field(m.lattice, m.df.where(A.determinant(m.value()) != 0), m.shape)
+    return _long(m.inverse() * m.determinant())
 
 
 @query("SELECT p_partkey, round(exp(x) * sin(x), 6) AS re, round(exp(x) * (sin(x) + cos(x)), 6) AS du FROM (SELECT p_partkey, p_retailprice / 1000 AS x FROM part)")
@@ -427,14 +423,34 @@ def site_seed(spark, sf_dir):
     return BOX.sites(spark).select("site", high.alias("high"), low.alias("low"))
 
 
-@query(None)
+def _draw_sql(n: int) -> str:
+    """A uniform draw in SQL: 13 hex digits of an MD5."""
+    digits = f"list_transform(string_split(substr(md5(high || ':' || low || ':{n}'), 1, 13), ''), lambda x: (instr('0123456789abcdef', x) - 1)::BIGINT)"
+    return f"(list_reduce({digits}, lambda x, y: x * 16 + y) / 4503599627370496.0::DOUBLE)"
+
+
+_GAUSS = "sqrt(-2 * ln(1.0 - {u})) * cos(6.283185307179586 * {v})"
+
+
+@query(f"SELECT site, round({_draw_sql(0)}, 9) AS u, round(2 + {_draw_sql(5)} * 3, 9) AS scaled, round({_GAUSS.format(u=_draw_sql(2), v=_draw_sql(3))}, 6) + 0.0 AS g, round({_GAUSS.format(u=_draw_sql(4), v=_draw_sql(5))}, 6) + 0.0 AS re, round({_GAUSS.format(u=_draw_sql(6), v=_draw_sql(7))}, 6) + 0.0 AS im FROM ({_fnv_sql()})")
 def site_draws(spark, sf_dir):
     high, low = seeds.site_seed(12345, [F.col(f"x{d}") for d in range(4)])
     rows = BOX.sites(spark).select("site", high.alias("h"), low.alias("l"))
-    return rows.select("site", seeds.uniform(F.col("h"), F.col("l")).alias("u"), seeds.gaussian(F.col("h"), F.col("l"), 1).alias("g"))
+    h, low, z = F.col("h"), F.col("l"), seeds.gaussian_complex(F.col("h"), F.col("l"), 1)
+    out = rows.select("site", seeds.uniform(h, low).alias("u"), seeds.uniform(h, low, 5, 2.0, 5.0).alias("scaled"), seeds.gaussian(h, low, 1).alias("g"), z["re"].alias("re"), z["im"].alias("im"))
+    return rounded(rounded(out, "u", "scaled", digits=9), "g", "re", "im")
+
+
+#: CRC-32 in SQL: the table of 256 steps made from the polynomial, then a fold over the bytes.
+_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+_TABLE = "SELECT i, i::BIGINT AS c FROM (SELECT unnest(range(256)) AS i)"
+for _ in range(8):
+    _TABLE = f"SELECT i, {_STEP} AS c FROM ({_TABLE})"
+_CRC = "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(data, ''), lambda x: ord(x)::BIGINT), lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295)"
+_ROTATED = "bit_xor(((crc << (site % {m})) & 4294967295) | (crc >> (32 - site % {m})))"
 
 
-@query(None)
+@query(f"WITH tab AS (SELECT list(c ORDER BY i) AS t FROM ({_TABLE})), c AS (SELECT site, {_CRC} AS crc FROM (SELECT o_orderkey AS site, o_orderpriority || '|' || o_custkey AS data FROM orders), tab) SELECT {_ROTATED.format(m=29)} AS suma, {_ROTATED.format(m=31)} AS sumb FROM c")
 def scidac_checksum(spark, sf_dir):
     rows = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("site"), F.concat_ws("|", "o_orderpriority", F.col("o_custkey").cast("string")).cast("binary").alias("data"))
     return seeds.scidac_checksum(rows)

@@ -5,10 +5,9 @@ import os
 import duckdb
 import pytest
 
-from gridfield.plans import registry
+from gridfield.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"wilson_action"}
 
 
 @pytest.fixture(scope="module")
@@ -19,16 +18,16 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_matches_sql(spark, con, name):
-    df = registry.QUERIES[name](spark, SF)
+    df = catalog.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
-    relation = con.sql(registry.ORACLES[name])
+    relation = con.sql(catalog.ORACLES[name])
     assert columns == sorted(relation.columns)
     want = sorted((tuple(dict(zip(relation.columns, r, strict=True))[c] for c in columns) for r in relation.fetchall()), key=str)
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() > 0
+    assert catalog.QUERIES[name](spark, SF).count() > 0
