@@ -29,11 +29,11 @@ def _license_sql() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_words(f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')", licenses.GAPS)} AS w FROM documents),
 t AS (SELECT number, label, phrase, string_split(text, ' ') AS w, CASE WHEN phrase THEN 2 ELSE 3 END AS k FROM (VALUES {values}) AS v(number, text, label, phrase)),
-places AS (SELECT number, label, phrase, k, len(w) - k + 1 AS total, place, array_to_string(w[place + 1 : place + k], ' ') AS gram FROM t, unnest(range(0, len(w) - k + 1)) AS u(place)),
+places AS (SELECT number, label, phrase, k, len(w) - k + 1 AS total, greatest(4, (len(w) - k + 1) // 8) AS reach, place, array_to_string(w[place + 1 : place + k], ' ') AS gram FROM t, unnest(range(0, len(w) - k + 1)) AS u(place)),
 grams AS (SELECT row, k, p, array_to_string(w[p + 1 : p + k], ' ') AS gram FROM (SELECT row, w, unnest([2, 3]) AS k FROM d), unnest(range(0, len(w) - k + 1)) AS u(p)),
-votes AS (SELECT DISTINCT row, number, label, phrase, total, p - place AS diagonal, place FROM grams JOIN places USING (k, gram)),
-diagonals AS (SELECT DISTINCT row, number, phrase, diagonal FROM votes),
-breaks AS (SELECT *, CASE WHEN phrase OR diagonal - lag(diagonal, 1, -1073741824) OVER (PARTITION BY row, number ORDER BY diagonal) > {licenses.SHIFT} THEN 1 ELSE 0 END AS fresh FROM diagonals),
+votes AS (SELECT DISTINCT row, number, label, phrase, total, reach, p - place AS diagonal, place FROM grams JOIN places USING (k, gram)),
+diagonals AS (SELECT DISTINCT row, number, phrase, reach, diagonal FROM votes),
+breaks AS (SELECT *, CASE WHEN phrase OR diagonal - lag(diagonal, 1, -1073741824) OVER (PARTITION BY row, number ORDER BY diagonal) > reach THEN 1 ELSE 0 END AS fresh FROM diagonals),
 numbered AS (SELECT row, number, diagonal, sum(fresh) OVER (PARTITION BY row, number ORDER BY diagonal) AS span FROM breaks),
 spans AS (SELECT row, number, label, phrase, min(diagonal) AS start, count(DISTINCT place) / total AS share FROM votes JOIN numbered USING (row, number, diagonal) GROUP BY row, number, label, phrase, total, span),
 found AS (SELECT * FROM spans WHERE CASE WHEN phrase THEN share = 1 ELSE share >= {licenses.COVER} END)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridfield.llm import licenses, quality, sharding, simhash
+from gridfield.llm import quality, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -107,17 +107,6 @@ def test_rows_without_ids_are_rows_of_their_own(spark):
     assert sorted(map(tuple, kept)) == sorted([(5, a), (7, b + " x"), (7, c + " y z")])
 
 
-def test_licenses(spark, docs):
-    df, rows = docs
-    extra = spark.createDataFrame([(500, "CC BY cc-by Apache License gnu general public license", None, None, 0), (501, "permission is hereby granted free of charge to any lucky person obtaining a copy of this software and associated documentation files", None, None, 0)], SCHEMA)
-    out = {r["doc_id"]: r for r in licenses.scan(df.unionByName(extra)).collect()}
-    assert (out[500]["n_base"], out[500]["first_word"], out[500]["last_word"], out[500]["base_labels"]) == (4, 0, 6, "apache,cc-by,gpl")
-    assert out[501]["labels"] == "mit-text" and out[501]["n_base"] == 0
-    for i, text, *_ in rows:
-        assert out[i]["n_base"] == (text or "").count("MIT License") and 0 <= out[i]["score"] <= 1
-    assert licenses.scan(empty(spark)).count() == 0
-
-
 def test_quality(spark, docs):
     df, rows = docs
     labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
