@@ -35,6 +35,25 @@ class Field:
     def elements(self) -> int:
         return math.prod(self.shape)
 
+    @property
+    def kind(self) -> str:
+        """scalar, vector, matrix or tensor."""
+        return ("scalar", "vector", "matrix")[len(self.shape)] if len(self.shape) < 3 else "tensor"
+
+    @property
+    def numbers(self) -> int:
+        """Real numbers a site."""
+        return self.elements * (2 if self.complex else 1)
+
+    def padded_block(self, ghost: int) -> int:
+        """Numbers a site where every axis of its block, the complex one too, has a border of ``ghost``."""
+        return math.prod(n + 2 * ghost for n in (*self.shape, 2 if self.complex else 1))
+
+    def padded_offset(self, ghost: int) -> int:
+        """Where the first real number of such a block lies."""
+        inner = [n + 2 * ghost for n in (*self.shape, 2 if self.complex else 1)]
+        return sum(ghost * math.prod(inner[k + 1 :]) for k in range(len(inner)))
+
     def value(self, column: str = "v"):
         return A.load(F.col(column), self.shape, self.complex)
 

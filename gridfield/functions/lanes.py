@@ -60,6 +60,11 @@ class LaneLayout:
         xs = [x * F.lit(g) + y for x, y, g in zip(self.groups.coordinates(group), self.lanes.coordinates(lane), self.grid, strict=True)]
         return self.lattice.index(xs).cast("long")
 
+    def array_index(self, group: Column, lane: Column, element: Column, elements: int) -> Column:
+        """Place in one array of groups, their elements, and their lanes."""
+        n = F.lit(self.lanes.volume)
+        return group * F.lit(elements) * n + element * n + lane
+
     def neighbour(self, group: Column, lane: Column, offset: tuple[int, ...]) -> tuple[Column, Column]:
         return self.place(self.lattice.moved(self.site(group, lane), offset))
 

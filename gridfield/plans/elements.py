@@ -11,7 +11,8 @@ from gridfield.field import Field
 from gridfield.functions import algebra as A
 from gridfield.functions import lanes
 from gridfield.lattice import Lattice
-from gridfield.operators import stencils
+from gridfield.operators import gauge, stencils
+from gridfield.operators.gauge import Gauge
 from gridfield.plans import fixtures as X
 from gridfield.plans.registry import _C, _DET, _F, _LANES, _PLAQ, _TA, _U, BOX, UNIT, E, _lane_sql, _long, _neighbour_sql, _psi, back, moved, query, r, rounded
 from gridfield.sources import lime, scidac
@@ -86,10 +87,10 @@ def field_arithmetic(spark, sf_dir):
     return _joined(("by_field", f / (f + 1.0)), ("by_number", f / 2.5), ("of_number", 1000.0 / f), ("taken", 7.0 - f), ("linear", 1.0 + 2.0 * -f))
 
 
-@query(f"SELECT site, {', '.join(f'round({n}(x), 6) + 0.0 AS {n}' for n in ('exp', 'cos', 'tan', 'sinh', 'cosh', 'tanh'))}, round(abs(1 - x / 3), 6) + 0.0 AS modulus FROM ({_X})")
+@query(f"SELECT site, {', '.join(f'round({n}(x), 6) + 0.0 AS {n}' for n in ('exp', 'cos', 'tan', 'sinh', 'cosh', 'tanh'))}, round(abs(1 - sqrt(x)), 6) + 0.0 AS modulus FROM ({_X})")
 def field_elementary(spark, sf_dir):
     x = X.prices(spark, sf_dir) / 100000.0
-    return _joined(*((n, x.call(n)) for n in ("exp", "cos", "tan", "sinh", "cosh", "tanh")), ("modulus", (1.0 - x / 3.0).abs()))
+    return _joined(*((n, x.call(n)) for n in ("exp", "cos", "tan", "sinh", "cosh", "tanh")), ("modulus", (1.0 - x.call("sqrt")).abs()))
 
 
 @query(f"SELECT site, round(pow(x, 2), 6) AS square, round(pow(2, x), 6) AS base, round(pow(x, x), 6) AS both FROM ({_X})")
@@ -329,8 +330,6 @@ def covariant_derivative(spark, sf_dir):
 @query(f"{_U} SELECT u.site, u.i * 2 + u.j AS k, {r('re', 9)} AS re, {r('im', 9)} AS im FROM u WHERE m = 2")
 def link_field(spark, sf_dir):
     """One direction of links that were put together from fields."""
-    from gridfield.operators.gauge import Gauge
-
     return _long(Gauge.of_fields([X.links(spark, sf_dir).field(mu) for mu in range(4)]).field(2), digits=9)
 
 
@@ -398,3 +397,49 @@ def lane_arithmetic(spark, sf_dir):
     product = lanes.lane_product(F.transform(v, lambda x: 1 + x / 10000.0))
     out = held.select(F.col("group").alias("grp"), product.alias("product"), fused.alias("fused"), lanes.lane_sum(twice).alias("doubled"), F.get(picked, F.lit(0)).alias("second"), F.get(picked, F.lit(1)).alias("fourth"))
     return rounded(rounded(out, "product", digits=9), "fused")
+
+
+@query(f"SELECT site, k, ({_lane_sql('//')}) * 24 + k * 8 + {_lane_sql('%')} AS at FROM ({_C}), (SELECT unnest(range(3)) AS k)")
+def lane_array_index(spark, sf_dir):
+    """Three elements a site."""
+    group, lane = _LANES.place(F.col("site"))
+    rows = BOX.sites(spark).select("site", group.alias("g"), lane.alias("l"), F.explode(F.array(*(F.lit(k).cast("long") for k in range(3)))).alias("k"))
+    return rows.select("site", "k", _LANES.array_index(F.col("g"), F.col("l"), F.col("k"), 3).alias("at"))
+
+
+# --- 8. metadata ----------------------------------------------------------------------------------------------------
+_SHAPES = {(): False, (3,): True, (3, 3): True, (2, 3, 4): False}
+
+
+@query("SELECT * FROM (VALUES ('scalar', 0, 1, 60, 1, 3, 1), ('vector', 1, 3, 60, 6, 20, 5), ('matrix', 2, 9, 60, 18, 100, 25), ('tensor', 3, 24, 60, 24, 360, 112)) AS v(kind, rank, elements, sites, numbers, block, first)")
+def field_geometry(spark, sf_dir):
+    """Sizes of fields, and of their blocks with a border of one."""
+    fields = [Field(SMALL, None, shape, complex_) for shape, complex_ in _SHAPES.items()]
+    rows = [(f.kind, len(f.shape), f.elements, f.lattice.volume, f.numbers, f.padded_block(1), f.padded_offset(1)) for f in fields]
+    return spark.createDataFrame(rows, "kind string, rank int, elements int, sites int, numbers int, block int, first int")
+
+
+@query("SELECT kind, n AS numbers, 4 * n AS single, 8 * n AS double, 512 * 4 * 8 * n AS bytes FROM (VALUES ('real', 1), ('complex', 2), ('color_vector', 6), ('color_matrix', 18), ('dirac_spinor', 24), ('propagator', 288)) AS v(kind, n)")
+def scidac_sizes(spark, sf_dir):
+    """Bytes of kinds of data, and of four of each on 4 x 4 x 4 x 8 sites."""
+    lat, rows = Lattice((4, 4, 4, 8)), []
+    for kind, n in scidac.TYPE_SIZES.items():
+        rows.append((kind, n, scidac.default_info(kind, "F").typesize, scidac.default_info(kind).typesize, scidac.data_size(lat, scidac.default_info(kind, "D", 4))))
+    return spark.createDataFrame(rows, "kind string, numbers int, single int, double int, bytes int")
+
+
+@query("SELECT 1.0::DOUBLE AS link_trace, 1.0::DOUBLE AS plaquette, 0.0::DOUBLE AS action")
+def unit_links(spark, sf_dir):
+    g = Gauge.unit(spark, Lattice((3, 2, 2, 4)), 3)
+    return rounded(g.link_trace().crossJoin(g.plaquette()).crossJoin(g.action(7.5, 1.0, -0.05)), "link_trace", "plaquette", "action")
+
+
+@query("SELECT nc, nc * nc * (8 * nc - 2) AS product, 2 * nc * nc AS addition, 2 * (nc - 1) AS trace, nc * nc AS adjoint FROM (SELECT unnest(range(1, 6)) AS nc)")
+def operation_counts(spark, sf_dir):
+    rows = [(n, gauge.matmul_flops(n), gauge.add_flops(n), gauge.trace_flops(n), gauge.adjoint_flops(n)) for n in range(1, 6)]
+    return spark.createDataFrame(rows, "nc long, product long, addition long, trace long, adjoint long")
+
+
+@query(_neighbour_sql([s for d in range(4) for s in (UNIT[d], back(UNIT[d]))]))
+def stencil_laplacian(spark, sf_dir):
+    return stencils.neighbours(spark, _BOX6, stencils.laplacian(_BOX6))
