@@ -1,50 +1,12 @@
-"""The training-data operators against brute force, on small and odd inputs."""
+"""The pipeline's near duplicates: the least similarity, stars, repeated lines, rows without ids."""
 
 import random
-import zlib
-from collections import Counter, defaultdict
 
-import numpy as np
-import pytest
-import xxhash
+from common import SCHEMA
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridfield.llm import quality, simhash
-
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-
-
-def corpus(spark, n=120, seed=3):
-    """Copies, near copies, shared passages, nulls, empty and long texts, repeated rows."""
-    rng = random.Random(seed)
-    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
-    words = lambda k: [rng.choice(vocabulary) for _ in range(k)]
-    shared, rows = words(60), []
-    for i in range(n):
-        w = words(rng.randint(30, 200))
-        if i % 7 == 1:
-            w = w[:10] + shared + w[10:]
-        if i % 11 == 2 and rows:
-            w = (rows[-1][1] or "x").split()
-        if i % 13 == 3:
-            w = w + w[:50]
-        text = "\n".join(" ".join(w[k : k + 20]) for k in range(0, len(w), 20))
-        if i % 17 == 4:
-            text += " Released under the MIT License. ***"
-        rows.append((i, text, ("en", "de", None)[i % 3], (None, "a", "b", "c")[0 if i % 10 == 0 else 1 + (i % 3 > 0) + (i % 9 == 0)], len(text)))
-    rows += [(n, None, "en", "a", None), (n + 1, "", "en", "b", 0), (n + 2, " \n\t", "en", None, 3), (n + 3, "é ß " * 9000, "fr", "z", 36000), (n + 4, "one two", "en", "a", 7)]
-    return spark.createDataFrame(rows, SCHEMA), rows
-
-
-@pytest.fixture(scope="module")
-def docs(spark):
-    df, rows = corpus(spark)
-    return df.repartition(5), rows
-
-
-def empty(spark):
-    return spark.createDataFrame([], SCHEMA)
+from gridfield.llm import simhash
 
 
 def sentence(rng, n):
@@ -105,24 +67,3 @@ def test_rows_without_ids_are_rows_of_their_own(spark):
     assert sorted(map(tuple, kept), key=str) == sorted([(5, a), (9, b), (None, c)], key=str)
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id", "text").collect()
     assert sorted(map(tuple, kept)) == sorted([(5, a), (7, b + " x"), (7, c + " y z")])
-
-
-def test_quality(spark, docs):
-    df, rows = docs
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
-    for r in quality.judge(df, labels).collect():
-        text = rows[r["doc_id"]][1] or ""
-        w = text.encode().split()
-        grams = Counter(zip(w, w[1:], w[2:], strict=False))
-        covered = {k + j for k, g in enumerate(zip(w, w[1:], w[2:], strict=False)) if grams[g] > 1 for j in range(3)}
-        lines = [x for x in text.split("\n") if x.encode().split()]
-        assert (r["n_words"], r["n_repeat_words"], r["n_dup_lines"]) == (len(w), len(covered), len(lines) - len(set(lines)))
-        assert r["word_chars"] == sum(len(x.decode()) for x in w) and r["n_symbols"] == sum(text.count(c) for c in "#*$%&|<>")
-    assert quality.judge(empty(spark), labels).count() == 0
-
-
-def test_binomial_tail(spark):
-    from math import comb
-
-    row = spark.range(1).select(quality.binomial_tail(F.lit(3), F.lit(900), 0.01).alias("p")).first()
-    assert row["p"] == pytest.approx(sum(comb(900, k) * 0.01**k * 0.99 ** (900 - k) for k in range(4)))
