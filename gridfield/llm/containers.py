@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from gridfield.llm import runtime
 from gridfield.llm.encoding import WordEncoder, encoder
-from gridfield.llm.runtime import LAST_ID, Scratch, partitions_for, release
+from gridfield.llm.runtime import LAST_ID, Scratch, partitions_for, release, sampled
 
 runtime.ship(sys.modules[__name__])
 
@@ -75,7 +75,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, id_column: str = "
 
     key = F.col(f"`{id_column}`").cast("long")
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit("")).cast("binary").alias("text")
-    chosen = {r["id"] for r in docs.select(key.alias("id")).where("id is not null").orderBy(F.xxhash64("id"), "id").limit(sample_documents).collect()}
+    chosen = {r["id"] for r in sampled(docs.select(key.alias("id")).where("id is not null"), "id", sample_documents).collect()}
     texts = docs.select(text)
     if chosen:
         ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(chosen)], "sample_id long")
@@ -99,6 +99,7 @@ def _frames(path: str, end_id: int, dictionary: bytes):
         import zstandard
         from pyspark import TaskContext
 
+        release(keep=True)
         own, end = encoder(path), end_id.to_bytes(4, "little")
         squeeze, place = zstandard.ZstdCompressor(level=3, dict_data=_loaded(dictionary)).compress, TaskContext.get().partitionId() << 40
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):

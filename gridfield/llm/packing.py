@@ -11,7 +11,8 @@ Each class leaves fewer than k pieces over, some ten thousand pieces in all what
 they are placed first-fit, longest first, in one small task.
 
 Cases.  Null or blank text: the end id alone.  Null doc_id stays null.  Rows that repeat a doc_id: each is packed.
-Very long texts: sequences of their own and a rest.  Empty table: empty result.
+Very long texts: sequences of their own and a rest.  Ties of lengths: in the order in which they were met.  Extra columns, whatever
+their names, aren't carried.  Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 
 from gridfield.llm import runtime
 from gridfield.llm.encoding import encoder
-from gridfield.llm.runtime import Scratch
+from gridfield.llm.runtime import Scratch, release
 
 runtime.ship(sys.modules[__name__])
 
+#: Rows of a batch that are taken at a time.
+ROWS = 500
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, number long"
 
 
@@ -55,8 +58,9 @@ def _pieces(path: str, end_id: int, capacity: int, tail: int):
 
         from pyspark import TaskContext
 
+        release(keep=True)
         own, end, part, numbers, known = encoder(path), end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), {}, {}
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             out = [[] for _ in range(7)]
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = own.encode(text) + end

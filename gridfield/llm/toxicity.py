@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridfield.llm import runtime
-from gridfield.llm.runtime import fresh, release
+from gridfield.llm.runtime import fresh, release, sampled
 
 runtime.ship(sys.modules[__name__])
 
@@ -111,8 +111,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, dimensions: int, top
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_false: float = 0.002, id_column: str = "doc_id", text_column: str = "text", label_column: str = "grade") -> Model:
     told = labels.where(F.col("doc_id").isNotNull() & F.col(label_column).isNotNull()).groupBy("doc_id").agg(F.max(label_column).cast("int").alias("y"))
-    turn = F.xxhash64("doc_id")
-    chosen = [r for kind in (F.col("y") <= 0, F.col("y") > 0) for r in told.where(kind).orderBy(turn, "doc_id").limit(per_label).collect()]
+    chosen = [r for kind in (F.col("y") <= 0, F.col("y") > 0) for r in sampled(told.where(kind), "doc_id", per_label).collect()]
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in chosen], "label_id long, y int")
     sample = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("text")).join(F.broadcast(ids), F.col("id") == F.col("label_id"))  # at most 2 * per_label ids
 
