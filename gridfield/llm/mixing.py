@@ -155,7 +155,7 @@ def classes(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: floa
     parts = partitions_for(spark, sum(r["documents"] for r in totals), 100_000)
     dealt = turned.repartition(parts, "chunk").sortWithinPartitions("chunk", F.desc("by"), "doc_id", "told")
     schema = T.StructType([turned.schema[c] for c in columns] + [T.StructField(c, T.LongType()) for c in ("least", "extra")])
-    return scratch.save(dealt.mapInArrow(_round(cap), schema), "rounded")
+    return scratch.save(dealt.mapInArrow(_round(cap), schema), "rounded", rows=sum(r["documents"] for r in totals))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -174,7 +174,8 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
 
     def joined(wanted):
         found = docs.withColumn(f"{told}_own", _row_hash(docs))
-        return found.join(wanted, found[id_column].cast("long").eqNullSafe(wanted[at]) & (found[f"{told}_own"] == wanted[told])).drop(f"{told}_own")
+        # the plan grows with the documents: it is never broadcast
+        return found.join(wanted.hint("merge"), found[id_column].cast("long").eqNullSafe(wanted[at]) & (found[f"{told}_own"] == wanted[told])).drop(f"{told}_own")
 
     def repeated(rows, most):
         return rows.where(F.col(copies) > 0).withColumn(turn, F.explode(F.sequence(F.lit(1), most)))
