@@ -31,10 +31,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/gridfield-shared"
 
 
+#: Makes Spark delete a query's shuffle files when it ends, and not when the driver's memory is next collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Parquet tables in the shared folder, which cut lineage and outlive executors.
 
-    ``save`` writes and rereads; ``drop`` deletes one that nothing reads any longer; what is left goes when the driver
+    ``save`` writes and rereads, and its shuffle files go at once; ``rows``: about how many there are at most, so that small
+    tables make few files.  ``drop`` deletes one that nothing reads any longer; what is left goes when the driver
     ends, since a returned DataFrame may still read it.
     """
 
@@ -49,10 +54,19 @@ class Scratch:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
 
-    def save(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    def save(self, df: DataFrame, name: str, compression: str = "zstd", rows: int | None = None) -> DataFrame:
         self.count += 1
-        path = f"{self.root}/{self.count}-{name}"
-        df.write.option("compression", compression).parquet(path)
+        path, before = f"{self.root}/{self.count}-{name}", self.spark.conf.get(CLEANUP, None)
+        if rows is not None:
+            df = df.coalesce(files_for(self.spark, rows))
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", compression).parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -68,10 +82,9 @@ class Scratch:
             pass
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete shuffle files of finished jobs now, not at the driver's next full collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+def files_for(spark: SparkSession, rows: float, each: float = 200_000) -> int:
+    """Files of about ``each`` rows, and no fewer than tasks that run at a time."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(rows / each))
 
 
 def fresh(name: str, taken: list[str]) -> str:
@@ -92,6 +105,15 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
+def sampled(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most so many of these rows: those with the smallest hashes of the key among the ones whose hash a number divides.
+
+    The number grows with the rows, so that about four times as many as wanted are sorted, and not so many of each partition.
+    """
+    turn, every = F.xxhash64(key), max(1, rows.count() // (4 * most))
+    return rows.where(F.pmod(turn, F.lit(every)) == 0).orderBy(turn, key).limit(most)
+
+
 def dealt_out(classes: DataFrame, rows: str, turn: str, block: int = 1000) -> DataFrame:
     """A class of ``rows`` equal rows becomes that many, numbered from 0 in ``turn``; large classes by many tasks."""
     spark, first = classes.sparkSession, fresh("first", classes.columns + [turn])
@@ -109,16 +131,19 @@ def ship(module) -> None:
     cloudpickle.register_pickle_by_value(module)
 
 
-def release() -> None:
-    """In a worker: what earlier tasks of other operators left behind goes back to the system.  Workers outlive stages."""
+def release(keep: bool = False) -> None:
+    """In a worker: what earlier tasks of other operators left behind goes back to the system.  Workers outlive stages.
+
+    keep: what is held for later tasks stays.
+    """
     import ctypes
 
     import pyarrow as pa
 
     home = sys.modules.get("gridfield_worker_state")
-    if home is not None and home.__dict__:
+    if home is not None and not keep:
         home.__dict__.clear()
-        gc.collect()
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -19,17 +19,20 @@ With ``similar``, links are the pairs of texts whose sets of shingles have that
 then a set of shingles, and its fingerprint is taken from distinct shingles.  Keys are the shingles of a set's prefix: with
 n shingles in one order that holds for the whole table, the first n - ceil(similar * n) + 1; two sets that are similar
 enough share a shingle of both prefixes, and the places of the first one they share bound how many they may share.  The
-order is by counts in a sample, rare ones first: it decides how long groups are, and not what is found.
-
-Groups (nodes that share a prefix shingle) of up to ``GROUP`` nodes send every pair that these bounds leave.  Larger ones are cut into
-runs of as many, and send one pair between runs and, inside a run, a spanning forest of the pairs that the pivot table leaves
+order is by counts over all texts, rare ones first; counts are kept in slots that several shingles share, so they only guide:
+they decide how long groups are, and not what is found.
+
+Groups (nodes that share a prefix shingle) of up to ``GROUP`` nodes send every pair of fitting sizes, with the number of such
+shingles that it shares; summed over all tasks, and with the shingles of larger groups allowed for, this is what two prefixes
+have in common, and pairs that have too little of it are dropped.  Larger groups send
+each node's pair with the nearest of ``HUBS`` hubs (a hub is the node nearest to the majority fingerprint of those that no
+hub before it is near), the hubs' pairs, and, in runs of ``GROUP`` nodes, a spanning forest of the pairs that the pivot table leaves
 and the fingerprints verify, closest first; and their entries are kept.  So a group of n nodes sends some n pairs.  Pairs
-on a forest are checked on the sets first and make components; then the others are, where their ends lie in different
+on a forest are checked on the sets first (those only whose sets can be similar by 1024 bits of parity) and make components; then the others are, where their ends lie in different
 components, and so are pairs of kept entries from different components of a group, which a join finds.  Near
 copies of one text are one component by then, and cost nothing more.  What isn't alike but shares a rare shingle must be
 compared in any exact way.  No pair counts unless its sets were checked, so no unconfirmed pair hides another, and the order
-of pairs and the number of tasks don't change the groups.  A shingle that the sample says over ``HOT`` nodes share is dealt to
-several tasks.
+of pairs and the number of tasks don't change the groups.  A shingle whose slot is counted in over ``HOT`` texts is dealt to several tasks.
 
 Cases.  Null or blank text: fingerprint zero, linked like any other.  Fewer words than a shingle: the whole sequence is
 one shingle.  Null doc_id or repeated ones: each row goes by its own text; component_id is the smallest doc_id of the
@@ -50,7 +53,7 @@ from pyspark.sql import functions as F
 
 from gridfield.llm import runtime
 from gridfield.llm.components import stars
-from gridfield.llm.runtime import LAST_ID, Scratch, free_shuffles, fresh, partitions_for, release
+from gridfield.llm.runtime import LAST_ID, Scratch, fresh, partitions_for, release
 
 runtime.ship(sys.modules[__name__])
 
@@ -59,11 +62,13 @@ BUCKET_PAIRS, FINER = 3000, (16, 64)
 #: Shingles whose bits are counted at a time, and rows that are linked at a time.
 BITS_AT_ONCE, LINK_ROWS = 100_000, 200_000
 #: Pairs that a task holds before it sends them on.
-HELD_PAIRS = 1_000_000
-#: Entries that a bucket of prefixes is meant to hold; documents and slots of the sample that orders shingles.
-BUCKET_ENTRIES, SAMPLED, SLOTS = 1_000_000, 10_000, 1 << 20
-#: Nodes of a group that are compared in pairs, and of a shingle that one task gets.
-GROUP, HOT = 128, 500_000
+HELD_PAIRS = 250_000
+#: Entries that a bucket of prefixes is meant to hold; slots of the counts that order shingles, and blocks of them.
+BUCKET_ENTRIES, SLOTS, BLOCKS = 500_000, 1 << 20, 32
+#: Nodes of a group that are compared in pairs, and of a shingle that one task gets; hubs of a larger group.
+GROUP, HOT, HUBS = 128, 500_000, 8
+#: Nodes whose ids are broadcast, to fetch their texts; more are joined by a shuffle.
+FETCHED = 500_000
 #: Pivots of a family, besides the first pivot.
 PATTERNS = 8
 #: Rows of a batch that are taken at a time.
@@ -279,11 +284,30 @@ def gram_set(words: list[bytes], shingle: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64))
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """1024 bits, each flipped by every shingle that has its number: two sets differ in as many shingles at least as their bits do."""
+    return np.packbits(np.bincount((grams >> np.uint64(54)).astype(np.int64), minlength=1024) & 1)
+
+
 def _gram_sets(shingle: int):
     def task(batches):
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
-            found = [gram_set(t.lower().split(), shingle).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "grams"])
+            sets = [gram_set(t.lower().split(), shingle).astype("<u8") for t in batch.column(1).to_pylist()]
+            columns = ([x.tobytes() for x in sets], [parity(x).tobytes() for x in sets], [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(columns, (pa.binary(), pa.binary(), pa.int32()), strict=True))], ["id", "grams", "bits", "n"])
+
+    return task
+
+
+def _bounded(least: float):
+    """Pairs whose bits differ no more than similar sets may."""
+
+    def task(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (2, 3))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            size = batch.column(4).to_numpy().astype(np.int64) + batch.column(5).to_numpy()
+            yield batch.select([0, 1]).filter(pa.array(differ * (1 + least) <= (1 - least) * size + 1e-6))
 
     return task
 
@@ -293,35 +317,42 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 def _counts(shingle: int):
-    """A row a task: in how many texts each slot's shingles stand."""
+    """Rows of a block of slots and in how many texts of the task the slots' shingles stand."""
 
     def task(batches):
+        release()
         import zlib
 
-        total = np.zeros(SLOTS, np.int32)
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                np.add.at(total, _slot(gram_set(t.lower().split(), shingle)), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["counts"])
+        total = np.zeros(SLOTS, np.int64)
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+            total += np.bincount(np.concatenate([_slot(gram_set(t.lower().split(), shingle)) for t in batch.column(0).to_pylist()]), minlength=SLOTS)
+        packed = [zlib.compress(x.tobytes(), 1) for x in total.reshape(BLOCKS, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"])
 
     return task
 
 
 def _summed(batches):
+    """A partition's block: a byte a slot."""
     import zlib
 
-    total = np.zeros(SLOTS, np.int64)
+    total, block = np.zeros(SLOTS // BLOCKS, np.int64), None
     for batch in batches:
-        for x in batch.column(0).to_pylist():
-            total += np.frombuffer(zlib.decompress(x), np.int32)
-    ranks = np.minimum(4 * np.log2(1 + total), 255).astype(np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(ranks.tobytes(), 1)], pa.binary())], ["ranks"])
+        for k in range(batch.num_rows):
+            block = batch.column(0)[k].as_py()
+            total += np.frombuffer(zlib.decompress(batch.column(1)[k].as_py()), np.int64)
+    if block is not None:
+        ranks = np.minimum(5 * np.log2(1 + total), 255).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([ranks.tobytes()], pa.binary())], ["block", "ranks"])
 
 
 def shingle_ranks(texts: DataFrame, shingle: int) -> bytes:
-    """A byte a slot, packed: about how often its shingles stand in a sample of texts."""
-    sample = texts.select("text").sample(min(1.0, SAMPLED / max(1, texts.count())), seed=5)
-    return sample.mapInArrow(_counts(shingle), "counts binary").repartition(1).mapInArrow(_summed, "ranks binary").first()[0]
+    """A byte a slot, packed: about in how many texts its shingles stand.  A partial sum a task and block; blocks are summed apart."""
+    import zlib
+
+    counted = texts.select("text").mapInArrow(_counts(shingle), "block int, counts binary").repartitionById(BLOCKS, "block")
+    found = {r["block"]: bytes(r["ranks"]) for r in counted.mapInArrow(_summed, "block int, ranks binary").collect()}  # BLOCKS rows, SLOTS bytes
+    return zlib.compress(b"".join(found.get(k, bytes(SLOTS // BLOCKS)) for k in range(BLOCKS)), 1)
 
 
 def prefix(grams: np.ndarray, ranks: np.ndarray, least: float) -> np.ndarray:
@@ -372,9 +403,8 @@ def _prefixes(shingle: int, width: int, least: float, packed: bytes):
 
 
 def salts(ranks: np.ndarray, nodes: int) -> np.ndarray:
-    """By slot: to how many tasks a shingle's nodes are dealt, from the sample's counts."""
-    share = (2.0 ** (ranks / 4) - 1) / SAMPLED
-    return np.maximum(1, np.ceil(share * nodes / HOT)).astype(np.int64)
+    """By slot: to how many tasks a shingle's nodes are dealt, from the slot's count."""
+    return np.maximum(1, np.ceil(np.minimum(2.0 ** (ranks / 5) - 1, nodes) / HOT)).astype(np.int64)
 
 
 def _deal(buckets: int, packed: bytes, nodes_in_all: int):
@@ -421,24 +451,44 @@ def possible(size, place, other_size, other_place, least: float):
     return (np.minimum(size, other_size) >= least * np.maximum(size, other_size) - 1e-9) & (rest * (1 + least) >= least * (size + other_size) - 1e-6)
 
 
-def run_pairs(run: np.ndarray, place: np.ndarray, size: np.ndarray, least: float):
-    """Index pairs of entries of one run that may be the first which similar sets share."""
+def run_pairs(run: np.ndarray, place: np.ndarray, size: np.ndarray, large: np.ndarray, least: float):
+    """Index pairs of entries of one run whose sizes fit; of large groups, that may be the first which similar sets share."""
     live, lag = np.arange(len(run)), 1
     while len(live := live[live + lag < len(run)]):
         live = live[run[live + lag] == run[live]]
-        near = live[possible(size[live], place[live], size[live + lag], place[live + lag], least)]
+        live = live[size[live] >= least * size[live + lag] - 1e-9]  # later ones of a run are no smaller
+        near = live[~large[live] | possible(size[live], place[live], size[live + lag], place[live + lag], least)]
         if len(near):
             yield near, near + lag
         lag += 1
 
 
-#: Pairs (a, b), told from kept entries (a shingle, a node, and the set's size and place) by a null ``early``.
-MET = "a long, b long, early boolean, size int, place int"
+def hubs(fps: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
+    """Index of each hub, and of the nodes that are near it and near none before."""
+    left, out = np.arange(len(fps)), []
+    while len(left) > 1 and len(out) < HUBS:
+        count = np.zeros(64 * fps.shape[1], np.int64)
+        for at in range(0, len(left), BITS_AT_ONCE):
+            part = np.ascontiguousarray(fps[left[at : at + BITS_AT_ONCE]])
+            count += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        middle = np.packbits(2 * count > len(left), bitorder="little").view("<u8")
+        hub = int(left[np.argmin(np.bitwise_count(fps[left] ^ middle).sum(axis=1, dtype=np.int64))])
+        near = np.bitwise_count(fps[left] ^ fps[hub]).sum(axis=1, dtype=np.int64) <= radius
+        out.append((hub, left[near & (left != hub)]))
+        left = left[~near]
+    return out
+
+
+#: Pairs (a, b) with their sizes and how many shingles of small groups they share; told from kept entries (a shingle, a node,
+#: and the set's size and place) by a null ``early``.
+MET = "a long, b long, early boolean, size int, other int, shared int, place int, hub boolean"
+#: Shared shingles of a pair that comes from a large group, where they aren't counted.
+UNCOUNTED = 1 << 20
 
 
 def _meet(least: float, pivots: Pivots):
     """Rows come sorted by bucket.  Pairs that may be similar enough; early: those of a forest from the closest on."""
-    types = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32())
+    types = (pa.int64(), pa.int64(), pa.bool_(), *[pa.int32()] * 4, pa.bool_())
     names = [x.split()[0] for x in MET.split(", ")]
 
     def task(batches):
@@ -452,18 +502,20 @@ def _meet(least: float, pivots: Pivots):
                 yield pa.RecordBatch.from_arrays([pa.nulls(min(n - at, 50_000), t) if x is None else pa.array(x[cut], t) for x, t in zip(columns, types, strict=True)], names)
 
         def sent(found):
-            a, b, apart, whole = (np.concatenate([x[k] for x in found]) for k in range(4))
-            if not len(a):
+            x, y, apart, whole = (np.concatenate([f[k] for f in found]) for k in range(4))
+            if not len(x):
                 return
-            order = np.lexsort((~whole, apart, b, a))
-            order = order[np.r_[True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)]]
-            order = order[np.argsort(apart[order], kind="stable")]
-            a, b, apart, whole = a[order], b[order], apart[order], whole[order]
-            early = np.zeros(len(a), bool)
+            order = np.lexsort((y[:, 0], x[:, 0]))
+            x, y, apart, whole = x[order], y[order], apart[order], whole[order]
+            edge = np.flatnonzero(np.r_[True, (np.diff(x[:, 0]) != 0) | (np.diff(y[:, 0]) != 0)])
+            shared = np.minimum(np.add.reduceat(np.where(whole, 1, UNCOUNTED), edge), UNCOUNTED)
+            x, y, apart, whole = x[edge], y[edge], np.minimum.reduceat(apart, edge), np.logical_or.reduceat(whole, edge)
             close = np.flatnonzero(apart <= pivots.radius)
-            early[close] = forest.unite(a[close], b[close])
+            close = close[np.argsort(apart[close], kind="stable")]
+            early = np.zeros(len(x), bool)
+            early[close] = forest.unite(x[close, 0], y[close, 0])
             left = early | whole  # pairs of large groups that are no part of the forest are found again if need be
-            yield from rows(a[left], b[left], early[left], None, None)
+            yield from rows(x[left, 0], y[left, 0], early[left], x[left, 1], y[left, 1], shared[left], None, None)
 
         def bucket(held):
             token, place, part, node, size, fps = (np.concatenate([r[k] for r in held]) for k in range(6))
@@ -477,18 +529,26 @@ def _meet(least: float, pivots: Pivots):
             large = np.repeat(length, length) > GROUP
             kept = large | part
             run = np.cumsum(fresh_token | large & ((np.arange(len(token)) - first) % GROUP == 0))
-            yield from rows(token[kept].view(np.int64), node[at[kept]], None, size[at[kept]], place[kept])
-            seam = np.flatnonzero((run[1:] != run[:-1]) & (token[1:] == token[:-1]))
-            pairs = [(seam, seam + 1)] if len(seam) else []
+            pairs, is_hub = [], np.zeros(len(token), bool)
+            for a, n in zip(np.flatnonzero(fresh_token)[length > 1], length[length > 1], strict=True):
+                if n <= GROUP and not part[a]:
+                    continue
+                found = hubs(fps[at[a : a + n]], pivots.radius)
+                is_hub[[a + h for h, _ in found]] = True
+                pairs += [(np.full(len(near), a + h), a + near) for h, near in found if len(near)]
+            is_hub[fresh_token & part] = True  # a group that other tasks have more of
+            yield from rows(token[kept].view(np.int64), node[at[kept]], None, size[at[kept]], None, None, place[kept], is_hub[kept])
+            nodes = np.stack([node, size], axis=1)
             found, n = [], 0
-            for left, right in (*pairs, *run_pairs(run, place, size[at], least)):
+            for left, right in (*pairs, *run_pairs(run, place, size[at], kept, least)):
                 x, y = at[left], at[right]
                 apart = np.full(len(x), 1 << 20)
                 close = pivots.near(fps, table, x, y)
                 apart[close] = np.bitwise_count(fps[x[close]] ^ fps[y[close]]).sum(axis=1, dtype=np.int64)
-                use = (apart < 1 << 20) | ~large[left]
-                found.append((np.minimum(node[x], node[y])[use], np.maximum(node[x], node[y])[use], apart[use], ~large[left][use]))
-                n += int(use.sum())
+                use = (apart < 1 << 20) | ~kept[left]
+                x, y, turned = x[use], y[use], (node[x] > node[y])[use, None]
+                found.append((np.where(turned, nodes[y], nodes[x]), np.where(turned, nodes[x], nodes[y]), apart[use], ~kept[left][use]))
+                n += len(x)
                 if n > HELD_PAIRS:
                     yield from sent(found)
                     found, n = [], 0
@@ -527,11 +587,17 @@ def _alike(least: float):
 def alike(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, least: float, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets have that Jaccard similarity."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = scratch.save(nodes.join(wanted, "node").select("node", "id", "told"), "wanted")
+    n = pairs.count()
+    wanted = scratch.save(nodes.join(wanted, "node").select("node", "id", "told"), "wanted", rows=2 * n)
+    fetched = wanted.count()
+    if fetched <= FETCHED:
+        wanted = F.broadcast(wanted)  # 24 bytes a row
     own = texts.join(wanted, ["id", "told"]).groupBy("node").agg(F.first("text").alias("text"))
-    sets = scratch.save(own.select("node", "text").mapInArrow(_gram_sets(shingle), "id long, grams binary"), "sets")
+    sets = scratch.save(own.select("node", "text").mapInArrow(_gram_sets(shingle), "id long, grams binary, bits binary, n int"), "sets", rows=20 * fetched)
+    short = lambda c: sets.select(F.col("id").alias(c), F.col("bits").alias(f"{c}_bits"), F.col("n").alias(f"{c}_n"))
+    pairs = pairs.join(short("a"), "a").join(short("b"), "b").select("a", "b", "a_bits", "b_bits", "a_n", "b_n").mapInArrow(_bounded(least), "a long, b long")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("right")), "b")
-    return scratch.save(both.select("a", "b", "left", "right").mapInArrow(_alike(least), "a long, b long"), "alike")
+    return scratch.save(both.select("a", "b", "left", "right").mapInArrow(_alike(least), "a long, b long"), "alike", rows=20 * n)
 
 
 def _across(entries: DataFrame, roots: DataFrame, least: float) -> DataFrame:
@@ -559,25 +625,38 @@ def _similar_links(texts: DataFrame, nodes: DataFrame, pivots: Pivots, shingle:
     buckets = partitions_for(texts.sparkSession, size or 0, 8 * BUCKET_ENTRIES)
     dealt = nodes.select("node", "fp", "n", "prefix").mapInArrow(_deal(buckets, ranks, n), DEALT)
     met = dealt.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(_meet(least, pivots), MET)
-    met = scratch.save(met, "met")
-    entries = met.where("early is null").select(F.col("a").alias("token"), F.col("b").alias("node"), "size", "place")
-    pairs = met.where("early is not null").groupBy("a", "b").agg(F.max("early").alias("early"))
+    met = scratch.save(met.repartition(max(texts.sparkSession.sparkContext.defaultParallelism, buckets // 8)), "met")  # small: few files
+    entries = met.where("early is null").select(F.col("a").alias("token"), F.col("b").alias("node"), "size", "place", "hub")
+    one, other = (entries.where("hub").select("token", F.col("node").alias(c)) for c in ("a", "b"))
+    between = one.join(other, "token").where("a < b").select("a", "b", F.lit(True).alias("early"))  # a few hubs a group
+    between = between.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("size")), "a").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("other")), "b").withColumn("shared", F.lit(UNCOUNTED))
+    columns = ["a", "b", "early", "size", "other", "shared"]
+    pairs = met.where("early is not null").select(*columns).unionByName(between.select(*columns)).groupBy("a", "b").agg(F.max("early").alias("early"), F.max("size").alias("size"), F.max("other").alias("other"), F.sum("shared").alias("shared"))
     end = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("brief").alias(f"{c}_brief"))
 
     def likely(pairs: DataFrame) -> DataFrame:
         known = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "early", "a_n", "b_n", "a_brief", "b_brief")
         return known.mapInArrow(_possible(least), "a long, b long, early boolean")
 
-    pairs = scratch.save(likely(pairs), "pairs")
+    met_rows = met.count()
+    uncounted = scratch.save(entries.groupBy("node").agg(F.count("*").alias("uncounted")), "uncounted", rows=met_rows)  # a node's shingles of large groups
+    if uncounted.count() <= FETCHED:
+        uncounted = F.broadcast(uncounted)  # 16 bytes a row
+    more = lambda c: uncounted.select(F.col("node").alias(c), F.col("uncounted").alias(f"{c}_more"))
+    pairs = pairs.join(more("a"), "a", "left").join(more("b"), "b", "left")
+    after = lambda c: F.ceil(F.col(c) * least - 1e-9) - 1  # noqa: E731  what a set has after its prefix
+    both = F.col("shared") + F.least(F.coalesce("a_more", F.lit(0)), F.coalesce("b_more", F.lit(0))) + F.greatest(after("size"), after("other"))
+    pairs = pairs.where(both * (1 + least) >= least * (F.col("size") + F.col("other")) - 1e-6).select("a", "b", "early")
+    pairs = scratch.save(pairs, "pairs", rows=met_rows)
     first = alike(texts, nodes, pairs.where("early").select("a", "b"), shingle, least, scratch)
-    roots = stars(first, scratch).withColumnRenamed("node", "at")
+    roots = stars(first, scratch, n).withColumnRenamed("node", "at")
     end_root = lambda c: roots.select(F.col("at").alias(c), F.col("root").alias(f"{c}_root"))
     apart = F.coalesce("a_root", "a") != F.coalesce("b_root", "b")
     rest = pairs.where("not early").join(end_root("a"), "a", "left").join(end_root("b"), "b", "left").where(apart).select("a", "b")
     if not entries.isEmpty():
         across = likely(_across(entries, roots, least).withColumn("early", F.lit(False)))
         rest = rest.unionByName(across.select("a", "b")).distinct()
-    rest = scratch.save(rest, "rest")
+    rest = scratch.save(rest, "rest", rows=met_rows)
     return first if rest.isEmpty() else first.unionByName(alike(texts, nodes, rest, shingle, least, scratch))
 
 
@@ -600,14 +679,13 @@ def _members(docs: DataFrame, pivots: Pivots, shingle: int, id_column: str, text
         links = keyed.repartition(count, "key").sortWithinPartitions("key").mapInArrow(_links(pivots), "a long, b long")
     else:
         links = _similar_links(texts, nodes, pivots, shingle, similar, ranks, linking)
-    free_shuffles(spark)
-    roots = stars(links, linking)
-    rooted = linking.save(nodes.join(roots.withColumnRenamed("node", "at"), nodes["node"] == F.col("at"), "left").select("key", "id", "told", F.coalesce("root", "node").alias("root")), "rooted")
+    many = nodes.count()
+    roots = stars(links, linking, many)
+    rooted = linking.save(nodes.join(roots.withColumnRenamed("node", "at"), nodes["node"] == F.col("at"), "left").select("key", "id", "told", F.coalesce("root", "node").alias("root")), "rooted", rows=many)
     first = rooted.groupBy("root").agg(F.min(F.struct("id", "told")).alias("first"))
     named = rooted.join(first, "root").select("key", F.col("first.id").alias("first_id"), F.col("first.told").alias("first_told"))
-    out = scratch.save(prints.join(named, "key").select("id", "told", "fp", "first_id", "first_told"), "members")
+    out = scratch.save(prints.join(named, "key").select("id", "told", "fp", "first_id", "first_told"), "members", rows=prints.count())
     linking.close()
-    free_shuffles(spark)
     return out
 
 
@@ -638,7 +716,9 @@ def keep_one(docs: DataFrame, pivots: Pivots, shingle: int, id_column: str = "do
     at, told, gone, gone_told = (fresh(x, docs.columns) for x in ("at", "told", "gone", "gone_told"))
     left = (F.col("first_id") != F.col("id")) | (F.col("id") == LAST_ID) & (F.col("first_told") != F.col("told"))
     drop = found.where(left).select(F.col("id").alias(gone), F.col("told").alias(gone_told)).distinct()
-    drop = Scratch(docs.sparkSession, "simhash-gone").save(drop, "gone")  # of known size: few rows are broadcast, and docs stay in place
+    drop = Scratch(docs.sparkSession, "simhash-gone").save(drop, "gone")
+    if drop.count() <= FETCHED:  # 16 bytes a row: broadcast, so that docs stay in place; more are joined by a shuffle
+        drop = F.broadcast(drop)
     marked = docs.withColumn(at, _id(id_column)).withColumn(told, _told(text_column))
     kept = marked.join(drop, (F.col(at) == F.col(gone)) & (F.col(told) == F.col(gone_told)), "left_anti")
     unnamed = kept.where(F.col(at) == LAST_ID).dropDuplicates([told])

@@ -168,3 +168,12 @@ def test_large_groups_make_few_pairs():
     out = pa.Table.from_batches(list(simhash._meet(0.8, simhash.plain_table(64, 4))([batch])))
     pairs = out.filter(out.column("early").is_valid())
     assert out.num_rows - pairs.num_rows == n and n - 1 <= pairs.num_rows <= 1.1 * n and all(pairs.column("early").to_pylist())
+
+
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 30, 3000):
+        a, b = (np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for _ in range(2))
+        b = np.union1d(b, a[: n // 2])
+        differ = np.bitwise_count(simhash.parity(a) ^ simhash.parity(b)).sum()
+        assert differ <= len(np.setxor1d(a, b)) and (n != 30 or differ > 20)
