@@ -39,7 +39,7 @@ from gridfield.llm.runtime import LAST_ID, Scratch, fresh, partitions_for, relea
 runtime.ship(sys.modules[__name__])
 
 #: Words that a task hashes at a time, windows that a bucket is meant to hold, and partitions that buckets are dealt to at most.
-BLOCK_WORDS, BUCKET_WINDOWS, MOST_PARTITIONS = 1_500_000, 2_000_000, 50_000
+BLOCK_WORDS, BUCKET_WINDOWS, MOST_PARTITIONS = 800_000, 2_000_000, 50_000
 #: Rows of a batch that are taken at a time.
 ROWS = 1000
 #: Odd multipliers of the two rolling polynomials (modulo 2**64).
@@ -49,7 +49,7 @@ PACKED = "bucket long, ids binary, tolds binary, counts binary, starts binary, h
 REMOVALS = "shard long, ids binary, tolds binary, counts binary, starts binary"
 
 
-def _word_hasher(limit: int = 300_000):
+def _word_hasher(limit: int = 150_000):
     import xxhash
 
     known: dict[bytes, int] = {}
@@ -93,43 +93,51 @@ PACKED_NAMES = [x.split()[0] for x in PACKED.split(", ")]
 
 
 class Places:
-    """Arrays of window places: a document's id, what tells it from others of that id, and the window's first word."""
+    """Arrays of window places: a document's id, what tells it from others of that id (None: nothing does), and the
+    window's first word."""
 
-    def __init__(self, ids: np.ndarray, tolds: np.ndarray, starts: np.ndarray):
-        self.arrays = (ids, tolds, starts)
+    def __init__(self, ids: np.ndarray, tolds: np.ndarray | None, starts: np.ndarray):
+        self.ids, self.tolds, self.starts = ids, tolds, starts.astype(np.uint32, copy=False)
 
     @staticmethod
     def joined(parts: list[Places]) -> Places:
-        return Places(*(np.concatenate([np.zeros(0, np.int64), *(p.arrays[k] for p in parts)]) for k in range(3)))
+        ids = np.concatenate([np.zeros(0, np.int64), *(p.ids for p in parts)])
+        tolds = np.concatenate([np.zeros(len(p), np.int64) if p.tolds is None else p.tolds for p in parts]) if any(p.tolds is not None for p in parts) else None
+        return Places(ids, tolds, np.concatenate([np.zeros(0, np.uint32), *(p.starts for p in parts)]))
 
     def __len__(self) -> int:
-        return len(self.arrays[0])
+        return len(self.ids)
 
     def take(self, which) -> Places:
-        return Places(*(x[which] for x in self.arrays))
+        return Places(self.ids[which], None if self.tolds is None else self.tolds[which], self.starts[which])
+
+    def _documents(self) -> list[np.ndarray]:
+        return [self.ids] if self.tolds is None else [self.tolds, self.ids]
 
     def order(self, *first: np.ndarray) -> np.ndarray:
-        ids, tolds, starts = self.arrays
-        return np.lexsort((starts, tolds, ids, *first))
+        return np.lexsort((self.starts, *self._documents(), *first))
 
     def edges(self) -> np.ndarray:
         """Where runs of one document begin."""
-        ids, tolds, _ = self.arrays
-        return np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (tolds[1:] != tolds[:-1])]) if len(ids) else np.zeros(0, np.int64)
+        fresh_run = np.zeros(len(self), bool)
+        fresh_run[:1] = True
+        for x in self._documents():
+            fresh_run[1:] |= x[1:] != x[:-1]
+        return np.flatnonzero(fresh_run)
 
     def shard(self, shards: int) -> np.ndarray:
         """As ``shard_column`` has it."""
-        x = (self.arrays[0] ^ self.arrays[1]).astype(np.uint64)
+        x = (self.ids if self.tolds is None else self.ids ^ self.tolds).astype(np.uint64)
         x = (x ^ (x >> np.uint64(17)) ^ (x >> np.uint64(31))).astype(np.int64)
         return x % shards
 
     def pack(self, hashes: np.ndarray, squeeze) -> tuple:
         """Runs of documents; starts as differences inside a run; hashes as they are."""
-        ids, tolds, starts = self.arrays
-        edge = self.edges()
+        edge, starts = self.edges(), self.starts.astype(np.int64)
         step = np.diff(starts, prepend=0)
         step[edge] = starts[edge]
-        own = (np.diff(ids[edge], prepend=0).astype("<i8"), tolds[edge].astype("<i8"), np.diff(np.r_[edge, len(ids)]).astype("<u4"), step.astype("<u4"))
+        tolds = np.zeros(0, np.int64) if self.tolds is None else self.tolds[edge]
+        own = (np.diff(self.ids[edge], prepend=0).astype("<i8"), tolds.astype("<i8"), np.diff(np.r_[edge, len(self)]).astype("<u4"), step.astype("<u4"))
         return (*(squeeze(x.tobytes()) for x in own), hashes.tobytes())
 
     @staticmethod
@@ -138,14 +146,14 @@ class Places:
         counts = np.frombuffer(loose(counts), "<u4").astype(np.int64)
         step = np.frombuffer(loose(starts), "<u4").astype(np.int64)
         total, edge = np.cumsum(step), np.cumsum(counts) - counts
-        return Places(np.repeat(ids, counts), np.repeat(tolds, counts), total - np.repeat(total[edge] - step[edge], counts))
+        return Places(np.repeat(ids, counts), np.repeat(tolds, counts) if len(tolds) else None, total - np.repeat(total[edge] - step[edge], counts))
 
     def later(self, group: np.ndarray) -> np.ndarray:
         """In order of (group, place): which come after the first of their group, at another place."""
         head = np.r_[True, group[1:] != group[:-1]]
         first = np.maximum.accumulate(np.where(head, np.arange(len(group)), 0))
         out = np.zeros(len(group), bool)
-        for x in self.arrays:
+        for x in (*self._documents(), self.starts):
             out |= x != x[first]
         return out
 
@@ -161,7 +169,7 @@ def next_prime(n: int) -> int:
     return n
 
 
-def _send(width: int, buckets: int):
+def _send(width: int, buckets: int, unique: bool):
     def task(batches):
         release()
         import zstandard
@@ -183,7 +191,7 @@ def _send(width: int, buckets: int):
             order = np.argsort(one, kind="stable")  # places are in order already
             same = np.r_[False, one[order][1:] == one[order][:-1]]
             gone, kept = np.sort(order[same]), np.sort(order[~same])
-            at = lambda who: Places(ids[doc[who]], tolds[doc[who]], start[who])
+            at = lambda who: Places(ids[doc[who]], None if unique else tolds[doc[who]], start[who])
             bucket = ((two[kept] ^ (two[kept] >> np.uint64(29))) * np.uint64(BASES[0]) >> np.uint64(33)).astype(np.int64) % buckets
             turn = np.argsort(bucket, kind="stable")
             kept, bucket = kept[turn], bucket[turn]
@@ -231,13 +239,18 @@ def _judge(shards: int):
                 yield _rows(["shard", *PACKED_NAMES[1:5]], rows[k : k + 1000], PACKED_TYPES[:5])
 
         def bucket(rows):
-            places, h = Places.joined([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-            turn = places.order()
-            places, h = places.take(turn), h[turn]
-            order = np.argsort(h, kind="stable")
-            bad = order[places.take(order).later(h[order])]
-            if len(bad):
-                yield from told(places.take(bad))
+            every, hashes = Places.joined([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+            rows.clear()
+            part, gone = (hashes >> np.uint64(61)).astype(np.uint8), []
+            for k in range(8):  # equal hashes lie in one part; smaller arrays are sorted
+                own = np.flatnonzero(part == k)
+                places, h = every.take(own), hashes[own]
+                order = places.order(h)
+                places = places.take(order)
+                gone.append(places.take(places.later(h[order])))
+            gone = Places.joined(gone)
+            if len(gone):
+                yield from told(gone)
 
         at, held, known = None, [], []
         for batch in batches:
@@ -284,8 +297,9 @@ def _cut(width: int, text_at: int, names: list[str], schema: pa.Schema, unique:
                     places = Places.joined(parts)
                     places, parts = places.take(places.order()), []
                     edge = places.edges()
-                    every, every_told, starts = places.arrays
-                    runs = dict(zip(zip(every[edge].tolist(), every_told[edge].tolist(), strict=True), zip(edge.tolist(), np.r_[edge[1:], len(places)].tolist(), strict=True), strict=True)) if len(edge) else {}
+                    starts, known = places.starts, places.ids[edge].tolist()
+                    known_told = [0] * len(edge) if places.tolds is None else places.tolds[edge].tolist()
+                    runs = dict(zip(zip(known, known_told, strict=True), zip(edge.tolist(), [*edge[1:].tolist(), len(places)], strict=True), strict=True)) if len(edge) else {}
                 text = texts[k].as_py()
                 words = (text or "").encode().split()
                 n, kept = len(words), words
@@ -293,7 +307,7 @@ def _cut(width: int, text_at: int, names: list[str], schema: pa.Schema, unique:
                     if who in seen:
                         kept = []
                     elif who in runs:
-                        s = starts[slice(*runs[who])]
+                        s = starts[slice(*runs[who])].astype(np.int64)
                         edges = np.bincount(s, minlength=n + 1)[: n + 1] - np.bincount(s + width, minlength=n + 1)[: n + 1]
                         keep = np.cumsum(edges)[:n] == 0
                         kept = [w for w, y in zip(words, keep.tolist(), strict=True) if y]
@@ -328,10 +342,10 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_column: str = "doc_id",
     key, text = F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(LAST_ID)), F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
     unique = docs.groupBy(key.alias("id")).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     told = F.lit(0).cast("long") if unique else F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
-    sent = docs.select(key.alias("id"), told.alias("told"), text.cast("binary").alias("text")).mapInArrow(_send(width, buckets), PACKED)
+    sent = docs.select(key.alias("id"), told.alias("told"), text.cast("binary").alias("text")).mapInArrow(_send(width, buckets, unique), PACKED)
     met = sent.repartitionById(dealt, F.pmod("bucket", F.lit(dealt)).cast("int")).sortWithinPartitions("bucket")
-    removals = Scratch(spark, "repeats").save(met.mapInArrow(_judge(shards), REMOVALS), "removals")
-    runtime.free_shuffles(spark)
+    judged = met.mapInArrow(_judge(shards), REMOVALS).repartition(max(spark.sparkContext.defaultParallelism, dealt // 8))  # small: few files
+    removals = Scratch(spark, "repeats").save(judged, "removals")
 
     kind, at, known, *packed, shard = (fresh(f"own_{x}", names) for x in ("kind", "at", "told", *PACKED_NAMES[1:5], "shard"))
     whole = docs.select(shard_column(key, told, shards).alias(shard), F.lit(1).alias(kind), key.alias(at), told.alias(known), *(F.lit(None).cast("binary").alias(c) for c in packed), *(F.col(f"`{c}`") for c in names))
