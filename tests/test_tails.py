@@ -56,3 +56,7 @@ def test_file_of_a_field_with_a_tail(spark, tmp_path):
 
 def test_scidac_matrix_round_trip(spark, tables):
     same(spark, tables, "scidac_matrix_round_trip")
+
+
+def test_propagator_round_trip(spark, tables):
+    same(spark, tables, "propagator_round_trip")
