@@ -65,3 +65,7 @@ def test_propagator_round_trip(spark, tables):
 def test_ildg_link_trace(spark, tables):
     same(spark, tables, "ildg_link_trace")
     same(spark, tables, "link_trace")
+
+
+def test_lime_records(spark, tables):
+    same(spark, tables, "lime_records")
