@@ -69,3 +69,7 @@ def test_ildg_link_trace(spark, tables):
 
 def test_lime_records(spark, tables):
     same(spark, tables, "lime_records")
+
+
+def test_field_text(spark, tables):
+    same(spark, tables, "field_text")
