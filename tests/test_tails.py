@@ -89,3 +89,7 @@ def test_moves_of_a_tail(spark):
 
 def test_covariant_derivative(spark, tables):
     same(spark, tables, "covariant_derivative")
+
+
+def test_covariant_shift(spark, tables):
+    same(spark, tables, "covariant_shift")
