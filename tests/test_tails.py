@@ -93,3 +93,7 @@ def test_covariant_derivative(spark, tables):
 
 def test_covariant_shift(spark, tables):
     same(spark, tables, "covariant_shift")
+
+
+def test_covariant_shift_backward(spark, tables):
+    same(spark, tables, "covariant_shift_backward")
