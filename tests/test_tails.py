@@ -97,3 +97,7 @@ def test_covariant_shift(spark, tables):
 
 def test_covariant_shift_backward(spark, tables):
     same(spark, tables, "covariant_shift_backward")
+
+
+def test_transport_matrix(spark, tables):
+    same(spark, tables, "transport_matrix")
