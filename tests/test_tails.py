@@ -101,3 +101,7 @@ def test_covariant_shift_backward(spark, tables):
 
 def test_transport_matrix(spark, tables):
     same(spark, tables, "transport_matrix")
+
+
+def test_transport_matrix_backward(spark, tables):
+    same(spark, tables, "transport_matrix_backward")
