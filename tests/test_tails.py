@@ -109,3 +109,7 @@ def test_transport_matrix_backward(spark, tables):
 
 def test_wilson_action(spark, tables):
     same(spark, tables, "wilson_action")
+
+
+def test_gauge_file_check(spark, tables):
+    same(spark, tables, "gauge_file_check")
