@@ -113,3 +113,7 @@ def test_wilson_action(spark, tables):
 
 def test_gauge_file_check(spark, tables):
     same(spark, tables, "gauge_file_check")
+
+
+def test_scidac_metadata(spark, tables):
+    same(spark, tables, "scidac_metadata")
